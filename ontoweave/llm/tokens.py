@@ -186,7 +186,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         def flush() -> pa.RecordBatch:
             name = f"{part:06d}-{seq:06d}.dac"
             temp = f"{base}/.{name}.{uuid.uuid4().hex}"
-            with fs.open_output_stream(temp) as f:
+            with fs.open_output_stream(temp, compression=None) as f:
                 f.write(pack(np.frombuffer(b"".join(parts), "<u4"), ids, ends))
             fs.move(temp, f"{base}/{name}")
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": len(ids), "n_tokens": held}], schema=schema)
