@@ -45,6 +45,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import digest, secrets
+
+    return secrets(table(spark, sf_dir, "documents")).select("doc_id", *digest())
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -52,6 +58,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_warc, op3_toxicity, op4_mixing, op5_decontamination, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_warc, op3_toxicity, op4_mixing, op5_decontamination, op6_secret_scan, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op4_mixing": mixing.SQL, "op5_decontamination": decontamination.SQL}
