@@ -51,6 +51,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents")).select("doc_id", *digest())
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -58,6 +64,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_warc, op3_toxicity, op4_mixing, op5_decontamination, op6_secret_scan, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_warc, op3_toxicity, op4_mixing, op5_decontamination, op6_secret_scan, op7_nearest_neighbours, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op4_mixing": mixing.SQL, "op5_decontamination": decontamination.SQL}
