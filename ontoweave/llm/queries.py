@@ -63,6 +63,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import passages
+
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -70,6 +76,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_warc, op3_toxicity, op4_mixing, op5_decontamination, op6_secret_scan, op7_nearest_neighbours, op8_html_extraction, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_warc, op3_toxicity, op4_mixing, op5_decontamination, op6_secret_scan, op7_nearest_neighbours, op8_html_extraction, op9_substring_dedup, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op4_mixing": mixing.SQL, "op5_decontamination": decontamination.SQL}
