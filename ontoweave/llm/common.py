@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Ids that are broadcast at most (some 30 MB).
+BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,5 +50,11 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 
+def only(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """df joined (left_semi, left_anti) to ids, a written table, which is broadcast if it is small enough; beyond that
+    adaptive execution may split the join."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

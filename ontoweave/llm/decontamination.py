@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import only, written
+
 #: Offsets of the words that a seed takes. Together they hit every stretch of WINDOW words of which two were replaced, and
 #: every item of 8 to 12 words of which a fifth was (test_decontamination.py tries all cases).
 MASKS = ((0, 3, 4, 5, 6), (0, 1, 3, 5, 7), (0, 1, 3, 6, 7))
@@ -74,7 +76,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows whose id overlaps() finds; rows with a null id stay."""
-    return docs.join(overlaps(docs, benchmark, id_col, **options).select(id_col).distinct(), id_col, "left_anti")
+    found = written(overlaps(docs, benchmark, id_col, **options).select(id_col).distinct(), "contaminated")
+    return only(docs, found, id_col, "left_anti").select(*docs.columns)
 
 
 def _sql() -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, only, written
 from .components import connected_components
 
 SEED = 42
@@ -157,4 +157,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     """docs without the rows whose id isn't its component's smallest. Rows with a null id stay if their whole component
     has no other; rows that repeat the smallest id stay, as they can't be told apart by it."""
     gone = near_duplicates(docs, id_col, **options).where(f"{id_col} <> component_id").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return only(docs, written(gone, "near-duplicates"), id_col, "left_anti").select(*docs.columns)
