@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrow_text import pieces
 from .common import fresh_path, open_fs
 
 MAGIC = b"OWDAC001"
@@ -19,10 +24,8 @@ MAGIC = b"OWDAC001"
 CHUNK_BITS, RANK_BITS = 8, 512
 #: A file is closed once it has this many tokens; documents are never split.
 FILE_TOKENS = 1 << 22
-#: Words whose ids a Python worker keeps.
-MEMO_WORDS = 300_000
 
-_MEMO: dict[tuple, Callable[[list], list]] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 # ---- the format -----------------------------------------------------------------------------------------------------
@@ -116,48 +119,91 @@ class TokenFile:
 
 
 # ---- tokenizing -----------------------------------------------------------------------------------------------------
-def encoder(tokenizer_path: str) -> Callable[[list], list]:
-    """A function from texts (None: empty) to little-endian u32 ids as bytes, the same as the tokenizer's own of the whole text.
-
-    A tokenizer none of whose tokens spans a blank or a line end, as tells its pre-tokenizer, gives a text's ids word by
-    word; known words come from a bounded memo. Texts that hold one of its added tokens, and all texts of other
-    tokenizers, are encoded whole."""
-    if (tokenizer_path,) in _MEMO:
-        return _MEMO[tokenizer_path,]
-    import json
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(tokenizer_path)
-    with open(tokenizer_path, encoding="utf-8") as f:
-        made = json.load(f)
-    added = [x["content"] for x in made.get("added_tokens") or []]
-    steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [made.get("pre_tokenizer") or {}]
-    by_word = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and r"^\s" in steps[0]["pattern"].get("Regex", "") and all(not x.get("use_regex", True) and not x.get("add_prefix_space", True) for x in steps[1:])
-    memo: dict[str, bytes] = {"": b""}
-    raw = lambda e: np.array(e.ids, "<u4").tobytes()
-
-    def run(texts: list) -> list:
-        out = []
-        for text in texts:
-            text = text or ""
-            if not by_word or any(x in text for x in added):
-                out.append(raw(t.encode(text, add_special_tokens=False)))
-                continue
-            words = text.replace("\n", " ").split(" ")
-            if new := set(words).difference(memo):
-                if len(memo) + len(new) > MEMO_WORDS:
-                    memo.clear()
-                    new = {*words}
-                new = list(new)
-                memo.update(zip(new, map(raw, t.encode_batch(new, add_special_tokens=False)), strict=True))
-            out.append(b"".join(map(memo.__getitem__, words)))
-        return out
-
-    _MEMO[tokenizer_path,] = run
-    return run
+#: Latin letters, all of which composition leaves alone and whose lower case has one letter, and a run of punctuation.
+PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+
+
+class Encoder:
+    """The ids of whole texts, the same as the tokenizer's own.
+
+    Where the tokenizer composes, lower-cases and splits so that no token spans white space or both letters and
+    punctuation, and marks word ends, the distinct words of some texts are encoded once, in one call, bare of punctuation
+    and lower-cased if they are plain, and dealt out to the places where they stand. Texts that hold one of its added
+    tokens, and all texts of other tokenizers, are encoded whole."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.added = [x["content"] for x in made.get("added_tokens") or []]
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers") or []]
+        cuts = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        suffix = made["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and "[\\p{L}]+" in cuts[0]["pattern"].get("Regex", "") and "[^\\s\\p{L}\\p{N}]+" in cuts[0]["pattern"]["Regex"] and not cuts[1]["use_regex"]
+        if self.by_word:
+            self.bare = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "added_tokens": [], "pre_tokenizer": cuts[1]}))
+            vocab = self.whole.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, the texts' lengths)"""
+        got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def _bare(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """_whole of plain lower-case words, whose ends the ids tell."""
+        if not stems:
+            return self._whole(stems)
+        ids = np.array(self.bare.encode_batch_fast([stems], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(at, prepend=0)) if len(at) == len(stems) else self._whole(stems)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """_whole of distinct words without blanks."""
+        cut = pc.extract_regex(words, PLAIN)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        stems = pc.utf8_lower(cut.field("stem").filter(cut.is_valid())).dictionary_encode()
+        tails = cut.field("tail").filter(cut.is_valid()).dictionary_encode()
+        parts = [self._bare(stems.dictionary.to_pylist()), self._whole([*tails.dictionary.to_pylist(), *words.filter(pc.invert(cut.is_valid())).to_pylist()]), self._whole([""])]
+        n_stems, n_tails, n = len(stems.dictionary), len(tails.dictionary), len(words)
+        none = n_stems + n_tails + int((~plain).sum())
+        first, second = np.empty(n, np.int64), np.full(n, none)
+        first[plain], second[plain] = stems.indices.to_numpy(), n_stems + tails.indices.to_numpy()
+        first[~plain] = n_stems + n_tails + np.arange(none - n_stems - n_tails)
+        got = _lists(*map(np.concatenate, zip(*parts, strict=True))).take(pa.array(np.column_stack([first, second]).ravel()))
+        return got.flatten().to_numpy(), np.diff(got.offsets.to_numpy()[::2])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, their lengths); null is empty."""
+        texts = texts.fill_null("")
+        if not self.by_word:
+            return self._whole(texts.to_pylist())
+        odd = np.zeros(len(texts), bool)
+        for x in self.added:
+            odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        words = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd), "", texts), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        got = _lists(*self._distinct(coded.dictionary)).take(coded.indices)
+        ids, lengths = got.flatten().to_numpy(), np.diff(got.offsets.to_numpy()[words.offsets.to_numpy() - words.offsets[0].as_py()])
+        for i in np.flatnonzero(odd):
+            own, at = self._whole([texts[i].as_py()])[0], lengths[:i].sum()
+            ids, lengths[i] = np.concatenate([ids[:at], own, ids[at:]]), len(own)
+        return ids, lengths
+
+
+def _lists(ids: np.ndarray, lengths: np.ndarray) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int64()), pa.array(ids.astype(np.uint32, copy=False)))
+
+
+def encoder(tokenizer_path: str) -> Encoder:
+    """The worker's Encoder of a tokenizer file."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = Encoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
 
 
 # ---- writing and reading --------------------------------------------------------------------------------------------
@@ -174,34 +220,34 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     open_fs(path)[0].create_dir(open_fs(path)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        to_bytes = encoder(tokenizer_path)
+        encode_texts = encoder(tokenizer_path)
         fs, base = open_fs(path)
-        parts, ids, ends, held = [], [], [], 0
+        parts, ids, lengths, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             name = f"{part:06d}-{seq:06d}.dac"
             temp = f"{base}/.{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(temp, compression=None) as f:
-                f.write(pack(np.frombuffer(b"".join(parts), "<u4"), ids, ends))
+                f.write(pack(np.concatenate(parts), ids, np.cumsum(np.concatenate(lengths)).tolist()))
             fs.move(temp, f"{base}/{name}")
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": len(ids), "n_tokens": held}], schema=schema)
 
         for b in batches:
-            for at in range(0, len(b), 256):
-                piece = b.slice(at, 256)
-                for i, raw in zip(piece.column(0).to_pylist(), to_bytes(piece.column(1).to_pylist()), strict=True):
-                    parts.append(raw + end)
-                    held += len(parts[-1]) // 4
-                    ids.append(i)
-                    ends.append(held)
-                    if held >= file_tokens:
-                        yield flush()
-                        parts, ids, ends, held, seq = [], [], [], 0, seq + 1
+            for piece in pieces(b, 1):
+                got, sizes = encode_texts(piece.column(1))
+                if end_id is not None:
+                    got, sizes = np.insert(got, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
+                parts.append(got)
+                lengths.append(sizes)
+                ids += piece.column(0).to_pylist()
+                held += len(got)
+                if held >= file_tokens:
+                    yield flush()
+                    parts, ids, lengths, held, seq = [], [], [], 0, seq + 1
         if ids:
             yield flush()
 
