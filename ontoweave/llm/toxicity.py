@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import pieces, words
 from .common import written
 
 WORD = re.compile(r"\w+")
@@ -33,17 +34,13 @@ def chain_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in reversed(STEMS) if len(word) >= k)]
 
 
-class _Memo(dict):
-    """token -> what make gives for it, of a bounded number of tokens."""
-
-    def __init__(self, make, most: int = 300_000):
-        self.make, self.most = make, most
-
-    def __missing__(self, token):
-        if len(self) >= self.most:
-            self.clear()
-        self[token] = got = self.make(token)
-        return got
+def likely(distinct: pa.Array, starts: set[str]) -> list[tuple[int, str]]:
+    """Number and text of the words of which a part begins with one of starts: a cheap test that leaves few."""
+    low = pc.utf8_lower(distinct)
+    begins = pc.is_in(pc.utf8_slice_codeunits(pc.replace_substring_regex(low, r"^[^\pL\pN_]+", ""), 0, STEMS[0]), value_set=pa.array(sorted(starts), pa.string()))
+    may = pc.or_(begins, pc.match_substring_regex(low, r"[\pL\pN_][^\pL\pN_]+[\pL\pN_]"))
+    at = np.flatnonzero(may.to_numpy(zero_copy_only=False))
+    return list(zip(at.tolist(), distinct.take(pa.array(at)).to_pylist(), strict=True))
 
 
 def segments(weights: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -83,12 +80,18 @@ class Model:
         """The largest weight of a token's words; a word has that of the longest of its features that is known."""
         return max((next((self.weights[f] for f in chain_of(w) if f in self.weights), 0.0) for w in WORD.findall(token.lower())), default=0.0)
 
-    def memo(self) -> _Memo:
-        return _Memo(self.weight)
+    def weigh(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The weights of each text's words."""
+        distinct, places, offsets = words(texts)
+        known = np.zeros(len(distinct))
+        for i, w in likely(distinct, {f[: STEMS[0]] for f in self.weights}):
+            known[i] = self.weight(w)
+        every = known[places]
+        for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            yield every[s:e]
 
-    def passages(self, text: str | None, memo: _Memo) -> tuple[list[tuple[int, int, float]], int]:
-        tokens = (text or "").split()
-        return segments(np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens)), self.drift), len(tokens)
+    def passages(self, weights: np.ndarray) -> list[tuple[int, int, float]]:
+        return segments(weights, self.drift) if weights.any() else []
 
     def bits(self, score: float, n: int) -> float:
         """-ln of the expected number of segments of such a score in n clean tokens."""
@@ -186,19 +189,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(base=n[1] / max(sum(n), 1))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = _Memo(features_of), Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array(counts.values(), pa.int64())], names=["f", "y", "fold", "n"])
-
         for b in batches:
-            for y, text, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                counts.update((f, y, fold) for f in set(chain.from_iterable(map(memo.__getitem__, set((text or "").split())))))
-                if len(counts) > 500_000:
-                    yield out()
-                    counts.clear()
-        yield out()
+            for piece in pieces(b, 1):
+                distinct, places, offsets = words(piece.column(1))
+                number: dict[str, int] = {}
+                lists = [[number.setdefault(f, len(number)) for f in dict.fromkeys(features_of(w))] for w in distinct.to_pylist()]
+                sizes = np.array([len(x) for x in lists])
+                flat, first = np.fromiter(chain.from_iterable(lists), np.int64), np.cumsum(sizes) - sizes
+                kinds, counts = (piece.column(0).to_numpy() * FOLDS + piece.column(2).to_numpy()).tolist(), np.zeros((2 * FOLDS, len(number)), np.int64)
+                for kind, s, e in zip(kinds, offsets[:-1], offsets[1:], strict=True):
+                    own = np.unique(places[s:e])
+                    n = sizes[own]
+                    counts[kind, np.unique(flat[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
+                kind, at = np.nonzero(counts)
+                names = pa.array(number, pa.string()).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([names, pa.array((kind // FOLDS).astype(np.int32)), pa.array((kind % FOLDS).astype(np.int32)), pa.array(counts[kind, at])], names=["f", "y", "fold", "n"])
 
     cells = [f"sum(if(y = {y} and fold = {k}, n, 0))" for y in (0, 1) for k in range(FOLDS)]
     table = sample.mapInArrow(present, "f string, y int, fold int, n long").groupBy("f").agg(*[F.expr(c).alias(f"c{i}") for i, c in enumerate(cells)])
@@ -222,15 +227,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     final = Model(fitted([*range(FOLDS)]), drift)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos = [m.memo() for m in models]
         for b in batches:
-            out = []
-            for y, text, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found, size = models[k].passages(text, memos[k])
-                tokens = (text or "").split() if found and not y else ()
-                hits = [w for w in map(memos[k].__getitem__, tokens) if w > 0] if found else []
-                out.append({"y": y, "n": size, "s": [s for _, _, s in found], "hits": hits if not y else []})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            for piece in pieces(b, 1):
+                weights, rows = [m.weigh(piece.column(1)) for m in models], []
+                for y, k, *each in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), *weights, strict=True):
+                    own = each[k]
+                    rows.append({"y": y, "n": len(own), "s": [s for _, _, s in models[k].passages(own)], "hits": own[own > 0].tolist() if not y else []})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("hits", pa.list_(pa.float64()))])
     seen = sample.mapInArrow(measured, "y int, n long, s array<double>, hits array<double>").collect()
@@ -249,17 +252,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _shares(texts: DataFrame, names: list[str]) -> np.ndarray:
     """The share of all documents that have each of a bounded list of features."""
-    place = {x: i for i, x in enumerate(names)}
+    place, starts = {x: i for i, x in enumerate(names)}, {x[: STEMS[0]] for x in names}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(lambda token: [place[f] for f in features_of(token) if f in place])
-        counts, rows = np.zeros(len(names) + 1, np.int64), 0
+        counts = np.zeros(len(names) + 1, np.int64)
         for b in batches:
-            rows += len(b)
-            for text in b.column(0).to_pylist():
-                if got := set(chain.from_iterable(map(memo.__getitem__, set((text or "").split())))):
-                    counts[list(got)] += 1
-        counts[-1] = rows
+            counts[-1] += len(b)
+            for piece in pieces(b, 0):
+                distinct, places, offsets = words(piece.column(0))
+                lists = {i: [place[f] for f in features_of(w) if f in place] for i, w in likely(distinct, starts)}
+                may = np.zeros(len(distinct), bool)
+                may[[i for i, x in lists.items() if x]] = True
+                at = np.flatnonzero(may[places])
+                doc = np.searchsorted(offsets, at, "right") - 1
+                cut = np.flatnonzero(np.diff(doc, prepend=-1))
+                for own in np.split(places[at], cut[1:]) if len(at) else []:
+                    counts[list(set(chain.from_iterable(map(lists.__getitem__, own.tolist()))))] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["i", "n"])
 
@@ -273,18 +281,32 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no passage; every row is scored, repeated ones alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = model.memo()
         for b in batches:
-            scores, passages = [], []
-            for text in b.column(1).to_pylist():
-                found, n = model.passages(text, memo)
-                scores.append(model.score(model.measures(found, n)))
-                passages.append([{"start": s, "end": e, "bits": bits} for s, e, x in found if (bits := model.bits(x, n)) > 0])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())])))], names=[id_col, "score", "predicted", "passages"])
-
+            for piece in pieces(b, 1):
+                scores, passages = [], []
+                for weights in model.weigh(piece.column(1)):
+                    found, n = model.passages(weights), len(weights)
+                    scores.append(model.score(model.measures(found, n)))
+                    passages.append([{"start": s, "end": e, "bits": bits} for s, e, x in found if (bits := model.bits(x, n)) > 0])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, kind)], names=[id_col, "score", "predicted", "passages"])
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())]))
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, score double, predicted int, passages array<struct<start:int,end:int,bits:double>>")
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score under threshold, with all their columns; no shuffle."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in pieces(b, place):
+                keep = [model.score(model.measures(model.passages(w), len(w))) < threshold for w in model.weigh(piece.column(place))]
+                yield piece.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether crc32 of the id as text has the remainder 2 by 4; false for null ids."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
