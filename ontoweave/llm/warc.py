@@ -14,12 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_fs
+from .common import fresh_path, open_fs, written
 
 #: A file is closed once it has this many compressed bytes.
 FILE_BYTES = 64 << 20
 #: Payloads that are shorter are never revisited.
 LEAST_BYTES = 100
+#: Repeated digests that are broadcast at most (some 100 MB with a URL each).
+BROADCAST_DIGESTS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -104,8 +106,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     (part, seq, file, records, bytes, sha256) as Parquet under path/manifest, which is returned.
 
     Of equal payloads of least_bytes and more that with the smallest id is the response and the others revisit it; which
-    those are comes from a partial aggregate over digests, and the digests that repeat join the pages in a join that
-    adaptive execution can split. Rows are range-sorted by id and files roll by compressed size. A file gets its name by a
+    those are comes from a partial aggregate over digests. The digests that repeat are broadcast to the pages if they are few
+    enough, else they meet in a join that adaptive execution can split; payloads are then shuffled once. Rows are range-sorted by id and files roll by compressed size. A file gets its name by a
     rename once it is whole; names and bytes depend on the rows alone, so a task that runs again, or twice at once, does no
     harm, and only files of the manifest count.
 
@@ -114,11 +116,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     empty manifest; further columns are ignored."""
     spark = pages.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html")).withColumn("digest", F.sha2("html", 256))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html")).withColumn("digest", F.unhex(F.sha2("html", 256)))
     firsts = (
         rows.where(F.length("html") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("r"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first", F.col("r.url").alias("first_url"))
     )
-    joined = rows.join(firsts, "digest", "left").select("id", "url", "html", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("first"), "first_url")
+    firsts = written(firsts, "warc-firsts")
+    joined = rows.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_DIGESTS else firsts, "digest", "left").select("id", "url", "html", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("first"), "first_url")
     ordered = joined.repartitionByRange(n, "id", "digest").sortWithinPartitions("id", "digest", "url").select("id", "url", "html", "first", "first_url")
     fs, base = open_fs(path)
     fs.create_dir(base, recursive=True)
