@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow_text import lean
 from .common import fresh_path, open_fs, written
 
 #: Links of a node per upper level (twice as many on the lowest), candidates of an insertion, and width of a search.
@@ -216,7 +217,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = WIDT
                             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["rep", "other", "score"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartition(n, "dim", "shard").mapInArrow(run, "rep long, other long, score double")
+    return index.repartition(n, "dim", "shard").mapInArrow(lean(run), "rep long, other long, score double")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", width: int = WIDTH, shard: int = SHARD) -> DataFrame:

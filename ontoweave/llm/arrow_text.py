@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
 
 
 def pieces(batch: pa.RecordBatch, text: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -29,3 +30,24 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     coded = split.flatten().dictionary_encode()
     offsets = split.offsets.to_numpy().astype(np.int64)
     return coded.dictionary, coded.indices.to_numpy(), offsets - offsets[0]
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so a worker that is kept doesn't keep what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with release() once a task ends."""
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return ended

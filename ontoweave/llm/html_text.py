@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import lean, release
+
 #: Words of a repeat at least, and distinct pages that must hold it.
 LEAST_WORDS, LEAST_PAGES = 8, 3
 #: Bytes of html and pages of a host that one task takes, about.
@@ -134,9 +136,9 @@ def _blocks(page: str, anywhere: bool = False) -> list[tuple[str, int]]:
     return out
 
 
-def repeats(pages: list[list[str]], least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES) -> list[np.ndarray]:
+def repeats(pages: list[list[str]], least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES, keys: list | None = None) -> list[np.ndarray]:
     """Per page (a list of words) which words lie in a run of least_words or more that stands in least_pages distinct
-    pages, pages of the same words being one.
+    pages, pages of the same key (default: the words) being one.
 
     The pages' words are numbered and concatenated, each page closed by a number of its own. Suffixes are sorted by their
     first least_words words by prefix doubling, which is all that coverage depends on; equal neighbours in that order are
@@ -150,13 +152,13 @@ def repeats(pages: list[list[str]], least_words: int = LEAST_WORDS, least_pages:
     ends = np.cumsum(sizes + 1) - 1
     text[np.delete(np.arange(n), ends)] = [number.setdefault(w, len(number)) for p in pages for w in p]
     text[ends] = len(number) + np.arange(len(pages))
-    same: dict[tuple, int] = {}
-    distinct = np.array([same.setdefault(tuple(p), len(same)) for p in pages])
+    same: dict = {}
+    distinct = np.array([same.setdefault(k, len(same)) for k in (map(tuple, pages) if keys is None else keys)])
     rank, depth = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
     while depth < least_words:
         step = min(depth, least_words - depth)
         second = np.full(n, -1)
-        second[: n - step] = rank[step:]
+        second[: max(n - step, 0)] = rank[step:]
         order = np.lexsort((second, rank))
         new = np.zeros(n, np.int64)
         new[order[1:]] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (second[order[1:]] != second[order[:-1]]))
@@ -179,11 +181,12 @@ def main_texts(pages: list[list[tuple[str, int]]], least_words: int = LEAST_WORD
     copied, not a template. In another page the words of open blocks count that no repeat of the host covers; repeats are
     sought in all that stands outside of such elements."""
     outside = [[w for t, s in p if s != IN_MAIN for w in t.split()] for p in pages]
-    covered = repeats(outside, least_words, least_pages)
+    inside = [" ".join(t for t, s in p if s == IN_MAIN) for p in pages]
+    covered = repeats(outside, least_words, least_pages, [i or tuple(o) for i, o in zip(inside, outside, strict=True)])
     out = []
-    for p, hit in zip(pages, covered, strict=True):
-        if any(s == IN_MAIN for _, s in p):
-            out.append((" ".join(t for t, s in p if s == IN_MAIN), int(hit.sum())))
+    for p, text, hit in zip(pages, inside, covered, strict=True):
+        if text:
+            out.append((text, int(hit.sum())))
             continue
         kept, at = [], 0
         for t, s in p:
@@ -212,12 +215,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     large = rows.groupBy("host").agg(parts.alias("parts")).where("parts > 1")
     large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
     dealt = rows.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("id", "url"), F.coalesce("parts", F.lit(1))).cast("int"))
-    found = dealt.select("host", "part", "id", "url", "html").mapInArrow(_parse, "host string, part int, id long, url string, texts array<string>, states array<int>")
+    found = dealt.select("host", "part", "id", "url", "html").mapInArrow(lean(_parse), "host string, part int, id long, url string, texts array<string>, states array<int>")
     schema = pa.schema([(id_col, pa.int64()), (url_col, pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_repeated", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         texts, states = group.column("texts").to_pylist(), group.column("states").to_pylist()
         got = main_texts([list(zip(t, s, strict=True)) for t, s in zip(texts, states, strict=True)], least_words, least_pages)
+        release()
         return pa.Table.from_arrays([group.column("id"), group.column("url"), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())], schema=schema)
 
     return found.groupBy("host", "part").applyInArrow(run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long, n_repeated long")

@@ -140,7 +140,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_r
                         seen.setdefault(w, 0)
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int32())], names=["w", "y"])
 
-    found = texts.mapInArrow(run, "w string, y int").groupBy("w").agg(F.max("y").alias("y"))
+    found = texts.mapInArrow(lean(run), "w string, y int").groupBy("w").agg(F.max("y").alias("y"))
     rows = found.orderBy(F.desc("y"), F.xxhash64("w"), "w").limit(max_words).collect()
     secret, plain = ([r["w"] for r in rows if r["y"] == y] for y in (1, 0))
     ordinary = plain + identifiers(plain)
@@ -167,7 +167,7 @@ def secrets(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
             out = [[{"kind": k, "start": s, "end": e, "text": t[s:e]} for k, s, e in model.spans(t)] if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=[id_col, "spans"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, spans array<struct<kind:string,start:bigint,end:bigint,text:string>>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run), f"`{id_col}` long, spans array<struct<kind:string,start:bigint,end:bigint,text:string>>")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[REDACTED]") -> str:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import lean
 from .common import dropped, only, written
 from .components import connected_components
 
@@ -47,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(lean(run), "id long, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +131,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = pairs.repartition(4 * n, "l_pc", "l_part", "pc", "part").select("l", "fps")
-    return spread.mapInArrow(run, "a long, b long")
+    return spread.mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:

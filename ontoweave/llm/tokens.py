@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import pieces
+from .arrow_text import lean, pieces
 from .common import fresh_path, open_fs
 
 MAGIC = b"OWDAC001"
@@ -252,7 +252,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
             yield flush()
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    rows.mapInArrow(run, "part int, seq int, file string, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
+    rows.mapInArrow(lean(run), "part int, seq int, file string, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
@@ -274,7 +274,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
                 crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(got.starts, got.ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(got.doc_ids, pa.int64()), pa.array(got.starts + first), pa.array(got.ends - got.starts), pa.array(crc, pa.int64()), pa.array([name] * len(crc), pa.string())], names=[id_col, "start", "n_tokens", "ids_crc32", "file"])
 
-    return files.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, file string")
+    return files.mapInArrow(lean(run), f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: str | None = None, **options) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import pieces, words
+from .arrow_text import lean, pieces, words
 from .common import written
 
 WORD = re.compile(r"\w+")
@@ -37,7 +37,8 @@ def chain_of(word: str) -> list[str]:
 def likely(distinct: pa.Array, starts: set[str]) -> list[tuple[int, str]]:
     """Number and text of the words of which a part begins with one of starts: a cheap test that leaves few."""
     low = pc.utf8_lower(distinct)
-    begins = pc.is_in(pc.utf8_slice_codeunits(pc.replace_substring_regex(low, r"^[^\pL\pN_]+", ""), 0, STEMS[0]), value_set=pa.array(sorted(starts), pa.string()))
+    first = pc.utf8_slice_codeunits(pc.replace_substring_regex(low, r"^[^\pL\pN_]+", ""), 0, STEMS[0])
+    begins = pc.is_in(pc.replace_substring_regex(first, r"[^\pL\pN_].*$", ""), value_set=pa.array(sorted(starts), pa.string()))
     may = pc.or_(begins, pc.match_substring_regex(low, r"[\pL\pN_][^\pL\pN_]+[\pL\pN_]"))
     at = np.flatnonzero(may.to_numpy(zero_copy_only=False))
     return list(zip(at.tolist(), distinct.take(pa.array(at)).to_pylist(), strict=True))
@@ -170,7 +171,7 @@ def _karlin(weights: np.ndarray, n: int, drift: float) -> float:
     return low
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 1 << 16, min_g2: float = 20.0, strength: float = 20.0, drift: float = 0.05) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 10_000, max_features: int = 1 << 16, min_g2: float = 20.0, strength: float = 20.0, drift: float = 0.05) -> Model:
     """A Model from docs and labels (id_col, label_col 0/1; the larger counts if there are several; nulls are left out).
 
     Fitted on max_rows labelled documents at most, those with the smallest hashes of their ids, each text once; so what
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in pieces(b, 1):
+            for piece in pieces(b, 1, 2 << 20):
                 distinct, places, offsets = words(piece.column(1))
                 number: dict[str, int] = {}
                 lists = [[number.setdefault(f, len(number)) for f in dict.fromkeys(features_of(w))] for w in distinct.to_pylist()]
@@ -206,11 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([names, pa.array((kind // FOLDS).astype(np.int32)), pa.array((kind % FOLDS).astype(np.int32)), pa.array(counts[kind, at])], names=["f", "y", "fold", "n"])
 
     cells = [f"sum(if(y = {y} and fold = {k}, n, 0))" for y in (0, 1) for k in range(FOLDS)]
-    table = sample.mapInArrow(present, "f string, y int, fold int, n long").groupBy("f").agg(*[F.expr(c).alias(f"c{i}") for i, c in enumerate(cells)])
+    table = sample.mapInArrow(lean(present), "f string, y int, fold int, n long").groupBy("f").agg(*[F.expr(c).alias(f"c{i}") for i, c in enumerate(cells)])
     y0, y1 = (F.expr("+".join(f"c{i}" for i in range(k * FOLDS, (k + 1) * FOLDS))) for k in (0, 1))
     table = written(table, "toxic-counts")
     rate, wide = n[1] / sum(n), F.substring("f", 1, STEMS[0])
-    enriched = table.where((y1 >= 3) & (y1 * n[0] > 2 * n[1] * y0)).orderBy(F.desc((y1 - rate * (y0 + y1)) / F.sqrt(y0 + y1)), "f").limit(max_features // 2)
+    excess = (y1 - rate * (y0 + y1)) / F.sqrt(rate * (y0 + y1))
+    enriched = table.where((y1 >= 3) & (excess >= 5)).orderBy(F.desc(excess), "f").limit(max_features // 2)
     first = [r["f"] for r in enriched.collect()]
     # what begins like them and was seen in three documents
     kin = docs.sparkSession.createDataFrame([(x,) for x in sorted({x[: STEMS[0]] for x in first})], "stem string")
@@ -236,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("hits", pa.list_(pa.float64()))])
-    seen = sample.mapInArrow(measured, "y int, n long, s array<double>, hits array<double>").collect()
+    seen = sample.mapInArrow(lean(measured), "y int, n long, s array<double>, hits array<double>").collect()
     clean = [r for r in seen if r["y"] == 0]
     tokens = sum(r["n"] for r in clean)
     final.lam = _karlin(np.array([w for r in clean for w in r["hits"]], np.float64), tokens, drift)
@@ -271,7 +273,7 @@ def _shares(texts: DataFrame, names: list[str]) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["i", "n"])
 
-    got = {r["i"]: r["n"] for r in texts.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    got = {r["i"]: r["n"] for r in texts.select("text").mapInArrow(lean(run), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     return np.array([got.get(i, 0) for i in range(len(names))]) / max(got.get(len(names), 0), 1)
 
 
@@ -291,7 +293,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, kind)], names=[id_col, "score", "predicted", "passages"])
 
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())]))
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, score double, predicted int, passages array<struct<start:int,end:int,bits:double>>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run), f"`{id_col}` long, score double, predicted int, passages array<struct<start:int,end:int,bits:double>>")
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -304,7 +306,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                 keep = [model.score(model.measures(model.passages(w), len(w))) < threshold for w in model.weigh(piece.column(place))]
                 yield piece.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow_text import lean
 from .common import fresh_path, open_fs, written
 
 #: A file is closed once it has this many compressed bytes.
@@ -60,7 +61,7 @@ def page_record(page_id: int | None, url: str | None, html: bytes | None, first:
     http = HTTP.format(len(payload)).encode()
     block = http + payload if first is None else http
     headers = {
-        "WARC-Record-ID": record_id(page_id, sha.hexdigest(), first is not None),
+        "WARC-Record-ID": record_id(page_id, sha.hexdigest(), int(first is not None)),
         "WARC-Date": DATE,
         "WARC-Target-URI": _safe(url) or "urn:page:unknown",
         "Content-Type": "application/http; msgtype=response",
@@ -161,7 +162,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             yield close(out)
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
-    ordered.mapInArrow(run, "part int, seq int, file string, records long, bytes long, sha256 string").write.parquet(f"{path}/manifest")
+    ordered.mapInArrow(lean(run), "part int, seq int, file string, records long, bytes long, sha256 string").write.parquet(f"{path}/manifest")
     done = spark.read.parquet(f"{path}/manifest")
     with fs.open_output_stream(f"{base}/_MANIFEST.json") as f:
         f.write(json.dumps({"files": "manifest/*.parquet", "format": "WARC/1.1", "members": "gzip per record"}).encode())
@@ -200,7 +201,7 @@ def read_warc(spark: SparkSession, path: str, id_col: str = "page_id") -> DataFr
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([(id_col, pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64())])
-    return files.mapInArrow(run, f"`{id_col}` long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
+    return files.mapInArrow(lean(run), f"`{id_col}` long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
