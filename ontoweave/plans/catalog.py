@@ -428,10 +428,10 @@ def label_cleanup(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.clean_literal(F.col("text"))).alias("cleaned"))
 
 
-@query("""SELECT p_partkey, lower(replace(trim(p_name), '_', ' ')) AS normal, replace(replace(p_brand || ' 1/2', '/', '-'), ' ', '') AS path, url_encode(p_name || ' a') AS quoted, (string_split(p_name, ' ') || ['-', '-', '-'])[1:3] AS padded, printf('%.3f', p_retailprice / 7) AS fixed FROM part""")
+@query("""SELECT p_partkey, lower(replace(trim(p_name), '_', ' ')) AS normal, replace(replace(p_brand || ' 1/2', '/', '-'), ' ', '') AS path, url_encode(p_name || ' a') AS quoted, array_to_string((string_split(p_name, ' ') || ['-', '-', '-'])[1:3], '|') AS padded, printf('%.3f', p_retailprice) AS fixed FROM part""")
 def text_normalisers(spark, d):
     part = table(spark, d, "part")
-    return part.select("p_partkey", text.normal(F.col("p_name")).alias("normal"), text.symbol_to_path(F.concat("p_brand", F.lit(" 1/2"))).alias("path"), text.quote(F.concat("p_name", F.lit(" a"))).alias("quoted"), text.padded(F.split("p_name", " "), 3, F.lit("-")).alias("padded"), text.fixed(F.col("p_retailprice") / 7).alias("fixed"))
+    return part.select("p_partkey", text.normal(F.col("p_name")).alias("normal"), text.symbol_to_path(F.concat("p_brand", F.lit(" 1/2"))).alias("path"), text.quote(F.concat("p_name", F.lit(" a"))).alias("quoted"), F.array_join(text.padded(F.split("p_name", " "), 3, F.lit("-")), "|").alias("padded"), text.fixed(F.col("p_retailprice")).alias("fixed"))
 
 
 @query()

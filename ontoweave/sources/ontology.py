@@ -78,7 +78,10 @@ def read_rdf_xml(spark: SparkSession, path: str, row_tag: str, fields: dict[str,
     rdf:resource, or else its text, is the object."""
     kind = T.ArrayType(T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_rdf:resource", T.StringType())]))
     rows = spark.read.format("xml").option("rowTag", row_tag).schema(T.StructType([T.StructField("_rdf:about", T.StringType()), *(T.StructField(f, kind) for f in fields)])).load(path)
-    each = [F.transform(F.coalesce(F.col(f"`{f}`"), F.array().cast(kind)), lambda x, p=p: F.struct(F.lit(p).alias("p"), F.coalesce(resolved(x["_rdf:resource"], base), x["_VALUE"]).alias("o"))) for f, p in fields.items()]
+    def objects(field: str, predicate: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"`{field}`"), F.array().cast(kind)), lambda x: F.struct(F.lit(predicate).alias("p"), F.coalesce(resolved(x["_rdf:resource"], base), x["_VALUE"]).alias("o")))
+
+    each = [objects(f, p) for f, p in fields.items()]
     return rows.select(resolved(F.col("`_rdf:about`"), base).alias("s"), F.explode(F.concat(*each)).alias("t")).select("s", "t.p", "t.o").where("o is not null")
 
 

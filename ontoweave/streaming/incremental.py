@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def timed(df: DataFrame) -> DataFrame:
+    """df with ts as a time stamp that a watermark takes, whatever kind of time stamp it is."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def match_new_labels(stream: DataFrame, target: DataFrame) -> DataFrame:
     """(entity1, entity2, ts) as labels (iri, label, ts) arrive: a stream-static join on the label without case."""
     known = target.select(F.lower("label").alias("k"), F.col("iri").alias("entity2")).distinct()
@@ -17,18 +22,18 @@ def match_new_labels(stream: DataFrame, target: DataFrame) -> DataFrame:
 
 def first_matches(matches: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each pair once within the time that late rows may take."""
-    return matches.withWatermark("ts", late).dropDuplicatesWithinWatermark(["entity1", "entity2"])
+    return timed(matches).withWatermark("ts", late).dropDuplicatesWithinWatermark(["entity1", "entity2"])
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """(start, event_type, n, total) per tumbling or sliding window."""
     at = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return events.withWatermark("ts", late).groupBy(at.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return timed(events).withWatermark("ts", late).groupBy(at.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, end, n) of runs of a user's events with no gap longer than that."""
-    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def running_best(scored: DataFrame) -> DataFrame:
