@@ -126,7 +126,9 @@ def structural_scores(scores: DataFrame, edges1: DataFrame, edges2: DataFrame) -
     """(entity1, entity2, score, above, below) of scored pairs: the best score of a pair of their parents, and of their
     children; null where none is scored."""
     e1, e2 = edges1.select(F.col("child").alias("c1"), F.col("parent").alias("p1")), edges2.select(F.col("child").alias("c2"), F.col("parent").alias("p2"))
-    above = scores.select(F.col("entity1").alias("p1"), F.col("entity2").alias("p2"), "score").join(e1, "p1").join(e2, "p2").groupBy(F.col("c1").alias("entity1"), F.col("c2").alias("entity2")).agg(F.max("score").alias("above"))
+    parents = scores.select(F.col("entity1").alias("p1"), F.col("entity2").alias("p2"), F.col("score").alias("above"))
+    # from the scored pairs up, so a pair of parents isn't spread over all pairs of their children
+    above = scores.select(F.col("entity1").alias("c1"), F.col("entity2").alias("c2")).join(e1, "c1").join(e2, "c2").join(parents, ["p1", "p2"]).groupBy(F.col("c1").alias("entity1"), F.col("c2").alias("entity2")).agg(F.max("above").alias("above"))
     below = scores.select(F.col("entity1").alias("c1"), F.col("entity2").alias("c2"), "score").join(e1, "c1").join(e2, "c2").groupBy(F.col("p1").alias("entity1"), F.col("p2").alias("entity2")).agg(F.max("score").alias("below"))
     return scores.join(above, ["entity1", "entity2"], "left").join(below, ["entity1", "entity2"], "left").select("entity1", "entity2", "score", "above", "below")
 

@@ -258,7 +258,7 @@ def geo_scores(spark, d):
     return a.join(b, "k").select("entity1", "entity2", similarity.levenshtein(F.col("x"), F.col("y")).alias("score"))
 
 
-@query(f"""WITH {GEO}, {LEXICAL}, ab AS (SELECT c.child AS entity1, k.child AS entity2, max(score) AS above FROM lx JOIN e c ON c.parent = entity1 JOIN e k ON k.parent = entity2 GROUP BY ALL),
+@query(f"""WITH {GEO}, {LEXICAL}, ab AS (SELECT x.entity1, x.entity2, max(y.score) AS above FROM lx x JOIN e c ON c.child = x.entity1 JOIN e k ON k.child = x.entity2 JOIN lx y ON y.entity1 = c.parent AND y.entity2 = k.parent GROUP BY ALL),
 be AS (SELECT c.parent AS entity1, k.parent AS entity2, max(score) AS below FROM lx JOIN e c ON c.child = entity1 JOIN e k ON k.child = entity2 GROUP BY ALL)
 SELECT entity1, entity2, round(score + 0.1 * coalesce(above, 0) + 0.3 * coalesce(below, 0), 6) AS score FROM lx LEFT JOIN ab USING (entity1, entity2) LEFT JOIN be USING (entity1, entity2)""")
 def structural_similarity(spark, d):
@@ -267,10 +267,10 @@ def structural_similarity(spark, d):
     return got.select("entity1", "entity2", F.round(similarity.structural(F.col("score"), F.col("above"), F.col("below")), 6).alias("score"))
 
 
-@query(f"""WITH {GEO}, {LEXICAL}, p AS (SELECT entity1, entity2 FROM lx WHERE score >= 0.9), x AS (SELECT c.parent AS entity1, k.parent AS entity2 FROM p JOIN e c ON c.child = entity1 JOIN e k ON k.child = entity2
+@query(f"""WITH {GEO_SUPPLIERS}, {LEXICAL}, p AS (SELECT entity1, entity2 FROM lx WHERE score >= 0.9), x AS (SELECT c.parent AS entity1, k.parent AS entity2 FROM p JOIN e c ON c.child = entity1 JOIN e k ON k.child = entity2
 UNION SELECT c.child, k.child FROM p JOIN e c ON c.parent = entity1 JOIN e k ON k.parent = entity2) SELECT entity1, entity2 FROM x EXCEPT SELECT entity1, entity2 FROM p""")
 def one_hop_extension(spark, d):
-    edges = views.geography(spark, d)
+    edges = views.geography(spark, d, customers=False)
     return graph.expanded(select.at_least(geo_scores(spark, d), 0.9).select("entity1", "entity2"), edges, edges)
 
 
