@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, written
@@ -13,6 +13,8 @@ from .common import dropped, written
 TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: The share of all tokens to sample, rounds of fitting, and cells that are broadcast at once (some 10 MB).
 BUDGET, ROUNDS, BROADCAST_CELLS = 0.7, 12, 100_000
+#: Rounds of one job over few cells.
+ROUNDS_AT_ONCE = 4
 SEED = "mix-1"
 
 
@@ -41,8 +43,9 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], b
     budget times all tokens, and never more than the cell has. A target is an exponent for the shares that the values
     have, or a mapping of values to weights (None: null; 0 for values that it doesn't name).
 
-    Each round is a written table. The sums over a dimension are partial aggregates that join the cells, so neither a
-    dimension nor a value needs to fit into a task."""
+    Rounds end in written tables. Cells are few as a rule, and then lie in one partition, where windows sum them. Beyond
+    BROADCAST_CELLS the sums over a dimension are partial aggregates that join the cells, so neither a dimension nor a
+    value needs to fit into a task."""
     total = cells.agg(F.sum("_n")).first()[0] or 0
     shares = []
     for i, t in enumerate(targets.values()):
@@ -54,16 +57,31 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], b
             sums = sums.select(f"_k{i}", F.when(F.col("t") > 0, F.pow("t", F.lit(float(t)))).otherwise(0.0).alias("g"))
         every = sums.agg(F.sum("g")).first()[0] or 1.0
         shares.append(written(sums.select(f"_k{i}", (F.col("g") / F.lit(every) * F.lit(budget * total)).alias("t")), "targets"))
+    for i, share in enumerate(shares):
+        cells = cells.join(share.withColumnRenamed("t", f"t{i}"), f"_k{i}")
     now = written(cells.withColumn("w", F.col("_n") * F.lit(float(budget))), "cells")
-    for _ in range(rounds):
-        new = now
-        for i, share in enumerate(shares):
-            sums = new.groupBy(f"_k{i}").agg(F.sum("w").alias("s")).join(share, f"_k{i}").select(f"_k{i}", F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(0.0).alias("f"))
-            new = new.join(sums, f"_k{i}").withColumn("w", F.col("w") * F.col("f")).drop("f")
-        new = written(new.withColumn("w", F.least("w", F.col("_n").cast("double"))), "cells")
+    few = now.count() <= BROADCAST_CELLS
+    step = ROUNDS_AT_ONCE if few else 1
+    for r in range(0, rounds, step):
+        new = now.repartition(1) if few else now
+        for _ in range(min(step, rounds - r)):
+            for i in range(len(shares)):
+                new = _scaled(new, f"_k{i}", f"t{i}", few)
+            new = new.withColumn("w", F.least("w", F.col("_n").cast("double")))
+        new = written(new, "cells")
         dropped(cells.sparkSession, now)
         now = new
-    return now
+    return now.drop(*[f"t{i}" for i in range(len(shares))])
+
+
+def _scaled(cells: DataFrame, key: str, target: str, few: bool) -> DataFrame:
+    """cells with w scaled so that each value of key sums to its target: by a window over few cells, which lie in one
+    partition, else by a partial aggregate that joins them."""
+    factor = lambda s: F.when(s > 0, F.col("w") * (F.col(target) / s)).otherwise(0.0)
+    if few:
+        return cells.withColumn("w", factor(F.sum("w").over(Window.partitionBy(key))))
+    sums = cells.groupBy(key).agg(F.sum("w").alias("_s"))
+    return cells.join(sums, key).withColumn("w", factor(F.col("_s"))).drop("_s")
 
 
 def draw(id_col: str, seed: str = SEED) -> Column:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import lean, pieces, words
+from .arrow_text import lean, pieces, release, words
 from .common import written
 
 WORD = re.compile(r"\w+")
@@ -249,6 +249,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         final.k = max(1e-9, (len(scores) / 2) / max(tokens, 1) * math.exp(min(final.lam * s, 50)))
     x = np.array([final.measures([(0, 0, s) for s in r["s"]], r["n"]) for r in seen])
     final.coef, final.base = logistic(x, np.array([r["y"] for r in seen], np.float64)), rate
+    del rows, seen, clean, counts
+    release()
     return final
 
 
