@@ -23,6 +23,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "textarea", "title", "xmp", "svg", "math"}
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "object", "applet", "canvas", "audio", "video", "map", "fieldset"}
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary",
@@ -30,9 +31,9 @@ BLOCK = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 NOISE = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "banner", "banners", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies",
+    "ad", "adbox", "ads", "adslot", "adunit", "advert", "advertorial", "alert", "aside", "adverts", "advertisement", "advertisements", "advertising", "adsense", "banner", "banners", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies",
     "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pagination", "paywall", "popup", "promo",
-    "promotion", "related", "recommended", "reply", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "widgets",
+    "promotion", "rail", "related", "recommended", "reply", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "teasers", "toolbar", "topbar", "widget", "widgets",
 }
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>?", re.DOTALL)
@@ -41,17 +42,17 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 OPEN, IN_MAIN, OUT = 0, 1, 2
 
 
-def is_noise(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes tell that it is no part of an article."""
+def noise(tag: str, attributes: str) -> set[str]:
+    """What tells that an element is no part of an article, by its attributes: words of its class or id, or its state."""
     if not attributes or tag in ("html", "body"):
-        return False
+        return set()
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True
+        return {"hidden"}
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE):
-        return True
+        return {"hidden"}
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return names != " " and any(p.lower() in NOISE for p in NAME_PARTS.findall(names))
+    return {p.lower() for p in NAME_PARTS.findall(names)} & NOISE if names != " " else set()
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
@@ -69,7 +70,7 @@ def _blocks(page: str, anywhere: bool = False) -> list[tuple[str, int]]:
     Elements that are left open end with those around them; an article ends no earlier than its own tag says."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, state, and whether it is a header, whose headings an article keeps
     state, at = OPEN, 0
 
     def flush() -> None:
@@ -88,11 +89,11 @@ def _blocks(page: str, anywhere: bool = False) -> list[tuple[str, int]]:
         tag = m[2].lower()
         if m[1]:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            inner = place is not None and tag not in MAIN and tag not in ("body", "html") and any(t in MAIN for t, _ in stack[place + 1 :])
+            inner = place is not None and tag not in MAIN and tag not in ("body", "html") and any(t in MAIN for t, *_ in stack[place + 1 :])
             if tag in BLOCK:
                 flush()
             if place is not None and not inner:
-                if any(s != state for _, s in stack[place:]) or (stack[place - 1][1] if place else OPEN) != state:
+                if any(s != state for _, s, _ in stack[place:]) or (stack[place - 1][1] if place else OPEN) != state:
                     flush()
                 del stack[place:]
                 state = stack[-1][1] if stack else OPEN
@@ -110,27 +111,26 @@ def _blocks(page: str, anywhere: bool = False) -> list[tuple[str, int]]:
             continue
         if stack and tag in BLOCK and stack[-1][0] == "p" and tag != "p":
             stack.pop()
-        if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and any(t == tag for t, _ in stack[-3:]):
-            place = max(i for i, (t, _) in enumerate(stack) if t == tag)
-            if not any(t in ("ul", "ol", "dl", "table") or t in MAIN for t, _ in stack[place + 1 :]):
+        if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and any(t == tag for t, *_ in stack[-3:]):
+            place = max(i for i, x in enumerate(stack) if x[0] == tag)
+            if not any(t in ("ul", "ol", "dl", "table") or t in MAIN for t, *_ in stack[place + 1 :]):
                 del stack[place:]
                 state = stack[-1][1] if stack else OPEN
-        new = state
+        new, why = state, noise(tag, m[3])
         if tag == "body":
             new = OPEN
-        elif anywhere and tag in MAIN and not is_noise(tag, m[3]):
+        elif anywhere and tag in MAIN and not why:
             new = IN_MAIN
         elif state == OUT:
-            heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") and any(t in MAIN and s == IN_MAIN for t, s in stack) and all(t in (*MAIN, "header", "div", "hgroup", "html", "body") for t, _ in stack) and stack[-1][0] in ("header", "div", "hgroup")
-            new = IN_MAIN if heading and any(t == "header" for t, _ in stack) else OUT
-        elif tag in DROPPED or is_noise(tag, m[3]):
+            new = IN_MAIN if tag in HEADINGS and any(s == IN_MAIN for _, s, _ in stack) and all(h for _, s, h in stack if s == OUT) else OUT
+        elif tag in DROPPED or why:
             new = OUT
         elif tag in MAIN:
             new = IN_MAIN
         if new != state:
             flush()
         state = new
-        stack.append((tag, state))
+        stack.append((tag, state, tag == "header" and not why or why == {"header"}))
     parts.append(page[at:])
     flush()
     return out

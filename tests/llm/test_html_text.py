@@ -18,6 +18,8 @@ def test_odd_markup():
     assert main("plain <b>te</b>xt 1 < 2 <style>p{}</style> &lt;p&gt;<!-- no <p> -->") == "plain text 1 < 2 <p>"
     assert main("<article><p><b>open<br>next<p>more") == "open next more"
     assert main("<ARTICLE><P STYLE='display: none'>x</P><P hidden>y</P><p>z</p></ARTICLE><p>after") == "z"
+    assert main('<article><div class="article-header"><h2>T</h2><p>by</p></div><p>b</p><div class="ad-slot"><h3>Buy</h3></div></article>') == "T b"
+    assert main('<div id="content"><p>one</p><div class="sidebar"><ul><li>x</ul></div><p>two</p></div><ol class="commentlist"><li>c</ol>') == "one two"
     assert main("") == main("<html><body><nav>menu</nav></body></html>") == ""
     assert main("<p>" + "w " * 200000) == ("w " * 200000).strip()
 

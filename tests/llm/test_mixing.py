@@ -30,3 +30,14 @@ def test_odd_rows(spark):
     assert [r["probability"] for r in got if not r["text"]] == [0, 0]
     assert M.mix(docs.limit(0)).count() == 0
     assert M.sampled(docs.drop("lang", "source")).columns == ["doc_id", "text"]
+
+
+def test_few_and_many_cells_agree(spark, monkeypatch):
+    rows = [(f"={i % 7}", f"={i % 3}", f"={i % 5}", 10 + (i * 37) % 400) for i in range(105)]
+    cells = spark.createDataFrame(rows, "_k0 string, _k1 string, _k2 string, _n long")
+    aims = {"a": 0.3, "b": 0.0, "c": {"0": 3.0, "1": 1.0, "2": 1.0, "3": 1.0}}
+    key = lambda df: sorted((r["_k0"], r["_k1"], r["_k2"], round(r["w"], 6)) for r in df.collect())
+    few = key(M.rake(cells, aims, 0.5, 6))
+    monkeypatch.setattr(M, "BROADCAST_CELLS", 0)
+    assert key(M.rake(cells, aims, 0.5, 6)) == few
+    assert all(w == 0 for *_, c, w in few if c == "=4")
