@@ -75,7 +75,7 @@ TOKENS = "regexp_split_to_array(lower(regexp_replace(label, '[^\\p{L}\\p{N}\\s]'
 @query(f"""WITH {LABELS}, st AS (SELECT iri AS entity1, unnest({TOKENS}) AS token FROM s), tt AS (SELECT iri AS entity2, unnest({TOKENS}) AS token FROM t),
 w AS (SELECT token, log10((SELECT count(DISTINCT entity2) FROM tt)::DOUBLE / count(*)) AS idf FROM tt GROUP BY token),
 c AS (SELECT entity1, entity2, sum(idf) AS score FROM st JOIN tt USING (token) JOIN w USING (token) GROUP BY entity1, entity2),
-r AS (SELECT *, row_number() OVER (PARTITION BY entity1 ORDER BY round(score, 9) DESC, entity2) AS rank FROM c)
+r AS (SELECT *, row_number() OVER (PARTITION BY entity1 ORDER BY round(score, 9) DESC, entity2)::INTEGER AS rank FROM c)
 SELECT entity1, entity2, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def idf_candidates_topk(spark, d):
     return blocking.idf_candidates(views.source_labels(spark, d), views.target_labels(spark, d), 5).withColumn("score", F.round("score", 6))
@@ -170,7 +170,7 @@ def greedy_threshold_or_best(spark, d):
     return select.all_or_best(near_scores(spark, d), 0.95).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {LABELS}, {SCORES} SELECT entity1, entity2, round(score, 6) AS score, row_number() OVER (PARTITION BY entity1 ORDER BY score DESC, entity2) AS rank FROM sc WHERE score >= 0.75 QUALIFY rank <= 3")
+@query(f"WITH {LABELS}, {SCORES} SELECT entity1, entity2, round(score, 6) AS score, row_number() OVER (PARTITION BY entity1 ORDER BY score DESC, entity2)::INTEGER AS rank FROM sc WHERE score >= 0.75 QUALIFY rank <= 3")
 def n_best(spark, d):
     return blocking.n_best(near_scores(spark, d), 3, 0.75).withColumn("score", F.round("score", 6))
 
@@ -443,7 +443,7 @@ def stemmed_vocabulary(spark, d):
 # ---- vectors --------------------------------------------------------------------------------------------------------
 @query("""WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS v FROM e GROUP BY label, i), k AS (SELECT label, list(v ORDER BY i) AS vec FROM c GROUP BY label),
 x AS (SELECT vec_id, k.label AS label, list_cosine_similarity(embedding::DOUBLE[], vec) AS s, list_distance(embedding::DOUBLE[], vec) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) + sqrt(list_inner_product(vec, vec))) AS dist FROM embeddings, k)
-SELECT vec_id, label, round(s, 5) AS cosine, round(dist, 5) AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, label) AS rank FROM x QUALIFY rank <= 3""")
+SELECT vec_id, label, round(s, 5) AS cosine, round(dist, 5) AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, label)::INTEGER AS rank FROM x QUALIFY rank <= 3""")
 def vector_centroid_topk(spark, d):
     vectors = table(spark, d, "embeddings")
     mean = corpus.centroids(vectors, "label", "embedding")
