@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ontoweave.llm import decontamination, mixing, simhash, tokens, toxicity
 from ontoweave.llm.common import table, written
+from ontoweave.ship import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents that a model of the labels, but for the held-out ones, holds for toxic are rejected."""
+    ship(spark)
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
     return toxicity.clean(docs, toxicity.train(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of each component the document with the smallest id stays."""
+    ship(spark)
     return simhash.one_of_each(docs)
 
 
@@ -33,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: the ids go into directly addressable files in order of doc_id; a row per document as read back."""
+    ship(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     return tokens.token_output(docs, path, end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
