@@ -184,9 +184,10 @@ ag AS (SELECT entity1, entity2, 1.0 AS score FROM lx WHERE (entity1, entity2) IN
 al AS ({UNCOVERED.format("(SELECT * FROM lx WHERE score > 0.85)", "cv")}), u AS (SELECT * FROM cv UNION ALL SELECT * FROM al)
 SELECT entity1, entity2, round(max(score), 6)::DOUBLE AS score FROM u GROUP BY ALL""")
 def meta_rule_combination(spark, d):
-    scores = near_scores(spark, d)
+    scores = graph.cut(near_scores(spark, d))
     t = views.target_labels(spark, d).where("pos = 1")
     semantic = blocking.exact_labels(views.source_labels(spark, d), t).withColumn("score", F.lit(1.0)).union(scores.where("score >= 0.99").groupBy("entity1").agg(F.min("entity2").alias("entity2")).withColumn("score", F.lit(0.97))).distinct()
+    semantic = graph.cut(semantic)
     return select.rule_combination(select.at_least(scores, 0.8), semantic, 0.85).withColumn("score", F.round("score", 6))
 
 

@@ -43,7 +43,8 @@ def meta_matcher(source: Ontology, target: Ontology, least: float = 0.9, strict:
         other = bag(source, "entity1").join(bag(target, "entity2"), "k").select(*PAIR, F.lit(1.0).alias("score")).distinct()
     else:
         other = semantic(source, target)
-    return _measured(select.rule_combination(lexical, other, strict))
+    # the rules read both several times
+    return _measured(select.rule_combination(graph.cut(lexical), graph.cut(other), strict))
 
 
 def structural_scores(source: Ontology, target: Ontology, near: float = 0.9) -> DataFrame:
