@@ -16,19 +16,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, ancestor, near, far): ancestors, and the lengths of the shortest and the longest path to them. Steps go on
-    while a round finds anything new, so cycles end: a walk is dropped once it is longer than most edges."""
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, ancestor, near, far): ancestors, and the lengths of the shortest and the longest walk to them that doesn't come
+    back to its node. Rounds go on until no walk is left. A walk of more edges than there are nodes goes around a cycle, which
+    has no longest one: that is an error, as are walks of over most edges if most is given."""
     found = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("child is not null and parent is not null").distinct()
     step = cut(found)
     walk, depth = step, 1
     rounds = [walk.withColumn("d", F.lit(1))]
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-    while depth < most:
+    limit = None
+    while True:
         depth += 1
         walk = cut(walk.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).where("node <> ancestor").distinct())
         if walk.isEmpty():
             break
+        if most is not None and depth > most:
+            raise ValueError(f"walks of over {most} edges")
+        if depth >= 8 and limit is None:  # counted once it may matter
+            limit = step.select("node").union(step.select("ancestor")).distinct().count()
+        if limit is not None and depth >= limit:
+            raise ValueError("the edges have a cycle")
         rounds.append(walk.withColumn("d", F.lit(depth)))
     out = rounds[0]
     for r in rounds[1:]:
@@ -36,11 +44,11 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     return out.groupBy("node", "ancestor").agg(F.min("d").alias("near"), F.max("d").alias("far"))
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """(node): roots (node) and all below them, by a frontier that grows breadth first."""
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node): roots (node) and all below them, by a frontier that grows breadth first until it is empty."""
     seen = cut(roots.select("node").distinct())
     frontier = seen
-    for _ in range(most):
+    while True:
         frontier = cut(edges.join(frontier.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             break
@@ -64,12 +72,12 @@ def depths(edges: DataFrame, nodes: DataFrame | None = None, longest: bool = Tru
     return every.join(to_roots, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def root_paths(edges: DataFrame, most: int = 64) -> DataFrame:
+def root_paths(edges: DataFrame) -> DataFrame:
     """(node, path): the array from a node up to a root over each node's first (smallest) parent."""
     first = cut(edges.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent")))
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
     done, walk = [], cut(nodes.select("node", F.array("node").alias("path"), F.col("node").alias("top")))
-    for _ in range(most):
+    while True:
         done.append(walk.join(first.select(F.col("node").alias("top")), "top", "left_anti").select("node", "path"))
         walk = cut(walk.join(first.select(F.col("node").alias("top"), "parent"), "top").where(~F.array_contains("path", F.col("parent"))).select("node", F.concat("path", F.array("parent")).alias("path"), F.col("parent").alias("top")))
         if walk.isEmpty():

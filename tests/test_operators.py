@@ -115,3 +115,13 @@ def test_corpus(spark):
     assert corpus.sample(many, 10, 1, "k").collect() == corpus.sample(many, 10, 1, "k").collect()
     drawn = [r[0] for r in many.select(corpus.other_than(5, F.lit(2), 0, "k")).collect()]
     assert set(drawn) == {0, 1, 3, 4}
+
+
+def test_deep_chains(spark):
+    e = spark.createDataFrame([(f"n{i + 1:03}", f"n{i:03}") for i in range(66)], "child string, parent string").coalesce(1)
+    assert {r["node"]: (r["near"], r["far"]) for r in graph.closure(e).where("ancestor = 'n000'").collect()} == {f"n{i:03}": (i, i) for i in range(1, 67)}
+
+
+def test_cycles_are_an_error(spark):
+    with pytest.raises(ValueError):
+        graph.closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "child string, parent string"))
