@@ -44,31 +44,30 @@ def likely(distinct: pa.Array, starts: set[str]) -> list[tuple[int, str]]:
     return list(zip(at.tolist(), distinct.take(pa.array(at)).to_pylist(), strict=True))
 
 
-def segments(weights: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end exclusive, score) of a sequence whose scores are weights where they are
-    positive and -drift elsewhere, left to right (the linear-time scan of Ruzzo and Tompa over its positive places)."""
-    found: list[list[float]] = []  # start, end, sum before, sum at its end
-    total, at = 0.0, 0
-    for i in np.flatnonzero(weights > 0).tolist():
-        total -= drift * (i - at)
-        start, end, before = i, i + 1, total
-        total += float(weights[i])
-        after, at = total, i + 1
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end exclusive, score) of a sequence of scores, left to right: Ruzzo and Tompa's
+    scan, in linear time. Each segment found keeps a pointer to the last one before it whose sum before is smaller, so a
+    search for such a one passes no segment twice."""
+    total = np.concatenate([[0.0], np.cumsum(scores)])
+    at = np.flatnonzero(scores > 0)
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum at its end, the pointer
+    for start, before, after in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist(), strict=True):
+        end, j = start + 1, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= before:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= after:
-                found.append([start, end, before, after])
+                found.append((start, end, before, after, j))
                 break
-            start, before = int(found[j][0]), found[j][2]
+            start, _, before, _, above = found[j]
             del found[j:]
-    return [(int(s), int(e), r - l) for s, e, l, r in found]
+            j = above
+    return [(s, e, r - l) for s, e, l, r, _ in found]
 
 
 @dataclass
 class Model:
-    """Weights of features, the drift of all other tokens, Karlin and Altschul's constants, and the calibration."""
+    """Signed weights of features, the drift of tokens without any, Karlin and Altschul's constants, and the calibration."""
 
     weights: dict[str, float] = field(default_factory=dict)
     drift: float = 0.05
@@ -78,21 +77,24 @@ class Model:
     base: float = 0.0
 
     def weight(self, token: str) -> float:
-        """The largest weight of a token's words; a word has that of the longest of its features that is known."""
-        return max((next((self.weights[f] for f in chain_of(w) if f in self.weights), 0.0) for w in WORD.findall(token.lower())), default=0.0)
+        """A token's score, by the longest feature of each of its words that is known: the largest if that is positive; else
+        the least, which is evidence for clean text, or the drift if that is less."""
+        known = [self.weights[f] for w in WORD.findall(token.lower()) if (f := next((f for f in chain_of(w) if f in self.weights), None))]
+        top = max(known, default=0.0)
+        return top if top > 0 else min([-self.drift, *known])
 
     def weigh(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The weights of each text's words."""
+        """The scores of each text's words."""
         distinct, places, offsets = words(texts)
-        known = np.zeros(len(distinct))
+        known = np.full(len(distinct), -self.drift)
         for i, w in likely(distinct, {f[: STEMS[0]] for f in self.weights}):
             known[i] = self.weight(w)
         every = known[places]
         for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             yield every[s:e]
 
-    def passages(self, weights: np.ndarray) -> list[tuple[int, int, float]]:
-        return segments(weights, self.drift) if weights.any() else []
+    def passages(self, scores: np.ndarray) -> list[tuple[int, int, float]]:
+        return segments(scores) if (scores > 0).any() else []
 
     def bits(self, score: float, n: int) -> float:
         """-ln of the expected number of segments of such a score in n clean tokens."""
@@ -113,17 +115,17 @@ class Model:
 
 
 def enrichment(y1: np.ndarray, y0: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """The likelihood-ratio statistics G2 of presence in y1 of n1 toxic and y0 of n0 clean documents; 0 if it isn't more
+    """The likelihood-ratio statistics G2 of presence in y1 of n1 toxic and y0 of n0 clean documents, negative if it is less
     frequent in toxic ones."""
     term = lambda x, e: np.where(x > 0, x * np.log(np.where(x > 0, x, 1) / np.where(e > 0, e, 1)), 0.0)
     p = (y1 + y0) / max(n1 + n0, 1)
     g2 = 2 * (term(y1, n1 * p) + term(y0, n0 * p) + term(n1 - y1, n1 * (1 - p)) + term(n0 - y0, n0 * (1 - p)))
-    return np.where(y1 * n0 > y0 * n1, g2, 0.0)
+    return np.where(y1 * n0 > y0 * n1, g2, -g2)
 
 
 def log_odds(names: list[str], y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, share: np.ndarray, strength: float, min_g2: float) -> dict[str, float]:
-    """Log-odds of toxic against clean, over those of all documents, of the features that are enriched or extend an
-    enriched one. Each has a Dirichlet prior with the mean of the longest feature that it extends (at the root, of all
+    """Signed log-odds of toxic against clean, over those of all documents, of the features that are enriched or depleted or
+    extend such a one. Each has a Dirichlet prior with the mean of the longest feature that it extends (at the root, of all
     documents) and pseudo-counts that grow with its share of the corpus, so rare words lean on their beginnings and a
     frequent word can differ from them."""
     base = n1 / (n1 + n0)
@@ -134,10 +136,10 @@ def log_odds(names: list[str], y1: np.ndarray, y0: np.ndarray, n1: int, n0: int,
         i, stem = at[f], f.rstrip("*")
         above = next((x for x in chain_of(stem)[0 if f == stem else 1 :] if x != f and x in mean), None)
         s = 2 + strength * share[i]
-        mean[f] = min((y1[i] + s * mean.get(above, base)) / (y1[i] + y0[i] + s), 1 - 1e-6)
-        good[f] = bool(g2[i] >= min_g2) or good.get(above, False)
+        mean[f] = min(max((y1[i] + s * mean.get(above, base)) / (y1[i] + y0[i] + s), 1e-6), 1 - 1e-6)
+        good[f] = bool(abs(g2[i]) >= min_g2) or good.get(above, False)
         if good[f]:
-            out[f] = max(0.0, logit(mean[f]) - logit(base))
+            out[f] = logit(mean[f]) - logit(base)
     return out
 
 
@@ -154,13 +156,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return tuple(map(float, w))
 
 
-def _karlin(weights: np.ndarray, n: int, drift: float) -> float:
-    """The positive root of E[exp(lam * score)] = 1 over clean tokens: weights of those that have one, out of n."""
-    rest = n - len(weights)
-    if n <= 0 or not len(weights):
+def _karlin(scores: np.ndarray, counts: np.ndarray) -> float:
+    """The positive root of E[exp(lam * score)] = 1 over clean tokens, counts of which have each of scores."""
+    if not len(scores) or scores.max() <= 0:
         return 1.0
-    low, high = 1e-6, 50.0 / max(weights.max(), 1e-6)
-    f = lambda t: (np.exp(t * weights).sum() + rest * math.exp(-t * drift)) / n - 1
+    n, low, high = counts.sum(), 1e-6, 50.0 / max(float(scores.max()), 1e-6)
+    f = lambda t: (counts * np.exp(t * scores)).sum() / n - 1
     if f(low) >= 0:
         return low
     if f(high) <= 0:
@@ -175,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A Model from docs and labels (id_col, label_col 0/1; the larger counts if there are several; nulls are left out).
 
     Fitted on max_rows labelled documents at most, those with the smallest hashes of their ids, each text once; so what
-    is broadcast and collected is bounded: max_rows ids, max_features features with the largest G2, max_rows rows of
-    measures. The prior is counted over all documents. For the calibration, each fold of the rows is measured by weights
+    is broadcast and collected is bounded: max_rows ids, max_features features with the largest G2, histograms of clean
+    tokens' and segments' scores, and max_rows rows of three measures. The prior is counted over all documents. For the calibration, each fold of the rows is measured by weights
     from the others. Without rows of both labels the model scores the labelled rows' mean, or 0."""
     chosen = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
@@ -212,8 +213,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = written(table, "toxic-counts")
     rate, wide = n[1] / sum(n), F.substring("f", 1, STEMS[0])
     excess = (y1 - rate * (y0 + y1)) / F.sqrt(rate * (y0 + y1))
-    enriched = table.where((y1 >= 3) & (excess >= 5)).orderBy(F.desc(excess), "f").limit(max_features // 2)
-    first = [r["f"] for r in enriched.collect()]
+    enriched = table.where((y1 >= 3) & (excess >= 5)).orderBy(F.desc(excess), "f").limit(max_features // 4)
+    depleted = table.where(excess <= -3).orderBy(excess, "f").limit(max_features // 4)
+    first = [r["f"] for r in enriched.select("f").union(depleted.select("f")).collect()]
     # what begins like them and was seen in three documents
     kin = docs.sparkSession.createDataFrame([(x,) for x in sorted({x[: STEMS[0]] for x in first})], "stem string")
     rows = table.where(y0 + y1 >= 3).join(F.broadcast(kin), wide == F.col("stem"), "left_semi").orderBy(F.desc(y1), "f").limit(max_features).collect()
@@ -228,28 +230,42 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     models = [Model(fitted([j for j in range(FOLDS) if j != k]), drift) for k in range(FOLDS)]
     final = Model(fitted([*range(FOLDS)]), drift)
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(b: pa.RecordBatch) -> Iterator[list[tuple[int, int, list[float], np.ndarray]]]:
+        """Per piece: label, words, segments' scores and words' scores of each row, by the model that hasn't seen it."""
+        for piece in pieces(b, 1):
+            scores = [m.weigh(piece.column(1)) for m in models]
+            rows = zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), *scores, strict=True)
+            yield [(y, len(own[k]), [s for _, _, s in models[k].passages(own[k])], own[k]) for y, k, *own in rows]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Histograms of clean rows: of tokens' scores (in thousandths) and of segments' (fiftieths of their logarithm)."""
         for b in batches:
-            for piece in pieces(b, 1):
-                weights, rows = [m.weigh(piece.column(1)) for m in models], []
-                for y, k, *each in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), *weights, strict=True):
-                    own = each[k]
-                    rows.append({"y": y, "n": len(own), "s": [s for _, _, s in models[k].passages(own)], "hits": own[own > 0].tolist() if not y else []})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("hits", pa.list_(pa.float64()))])
-    seen = sample.mapInArrow(lean(measured), "y int, n long, s array<double>, hits array<double>").collect()
-    clean = [r for r in seen if r["y"] == 0]
-    tokens = sum(r["n"] for r in clean)
-    final.lam = _karlin(np.array([w for r in clean for w in r["hits"]], np.float64), tokens, drift)
+            for rows in each(b):
+                clean = [(s, own) for y, _, s, own in rows if y == 0]
+                tokens = np.rint(1000 * np.concatenate([own for _, own in clean])).astype(np.int64) if clean else np.zeros(0, np.int64)
+                found = np.rint(50 * np.log([x for s, _ in clean for x in s])).astype(np.int64)
+                for kind, values in ((0, tokens), (1, found)):
+                    at, n = np.unique(values, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["kind", "at", "n"])
+
+    rows = sample.mapInArrow(lean(spread), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).orderBy("kind", "at").collect()
+    (token_at, token_n), (found_at, found_n) = [[np.array([r[c] for r in rows if r["kind"] == k], np.float64) for c in ("at", "n")] for k in (0, 1)]
+    final.lam = _karlin(token_at / 1000, token_n)
     # K by moments: the mean number of segments above the median score of clean segments is K n exp(-lam s)
-    scores = sorted(s for r in clean for s in r["s"])
-    if scores:
-        s = scores[len(scores) // 2]
-        final.k = max(1e-9, (len(scores) / 2) / max(tokens, 1) * math.exp(min(final.lam * s, 50)))
-    x = np.array([final.measures([(0, 0, s) for s in r["s"]], r["n"]) for r in seen])
-    final.coef, final.base = logistic(x, np.array([r["y"] for r in seen], np.float64)), rate
-    del rows, seen, clean, counts
+    if len(found_at):
+        above = np.cumsum(found_n[::-1])[::-1]
+        s = math.exp(found_at[np.flatnonzero(above >= found_n.sum() / 2)[-1]] / 50)
+        final.k = max(1e-9, found_n.sum() / 2 / max(token_n.sum(), 1) * math.exp(min(final.lam * s, 50)))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows in each(b):
+                x = np.array([final.measures([(0, 0, v) for v in s], n) for _, n, s, _ in rows]).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, *_ in rows], pa.int32()), *(pa.array(x[:, i]) for i in range(3))], names=["y", "a", "b", "c"])
+
+    seen = np.array(sample.mapInArrow(lean(measured), "y int, a double, b double, c double").collect(), np.float64)
+    final.coef, final.base = logistic(seen[:, 1:], seen[:, 0]), rate
+    del rows, seen, counts
     release()
     return final
 

@@ -20,17 +20,25 @@ def brute_segments(x):
     return brute_segments(x[:i]) + [(i, j)] + [(a + j, b + j) for a, b in brute_segments(x[j:])]
 
 
-@given(st.lists(st.sampled_from([0.0, 0.0, 1.0, 2.5, 0.7]), max_size=18))
+@given(st.lists(st.sampled_from([-0.4, -0.4, -1.3, 1.0, 2.5, 0.7]), max_size=18))
 @settings(max_examples=150, deadline=None)
 def test_segments_are_the_maximal_ones(weights):
-    w = np.array(weights)
-    got = T.segments(w, 0.4)
-    values = np.where(w > 0, w, -0.4)
+    values = np.array(weights)
+    got = T.segments(values)
     want = [values[a:b].sum() for a, b in brute_segments(list(values))]
     assert np.allclose(sorted(s for _, _, s in got), sorted(want))
     assert all(abs(values[a:b].sum() - s) < 1e-9 for a, b, s in got)
 
 
+def test_segments_take_linear_time():
+    import time
+
+    for shape in (np.tile([2.0, -3.0], 60_000), np.tile([1.0, *[-0.05] * 40], 60_000), np.concatenate([np.tile([1.0, -1.1], 50_000), np.tile([1.0, -0.9], 50_000)])):
+        start = time.perf_counter()
+        T.segments(shape)
+        assert time.perf_counter() - start < 2
+
+
 def corpus(n=400):
     r = random.Random(1)
     words = [f"w{i}" for i in range(200)]
@@ -76,4 +84,6 @@ def test_without_labels_or_rows(spark):
 def test_likely_words_are_those_that_have_weight():
     m = T.Model({"bad": 2.0, "awfu*": 1.0})
     texts = pa.array(["a BAD, x-bad awfully fine \"awful", None])
-    assert [w.tolist() for w in m.weigh(texts)] == [[0, 2.0, 2.0, 1.0, 0, 1.0], [0]]
+    assert [w.tolist() for w in m.weigh(texts)] == [[-0.05, 2.0, 2.0, 1.0, -0.05, 1.0], [-0.05]]
+    m.weights["good"] = -1.5
+    assert [m.weight(x) for x in ("good", "good-bad", "other", "good, other")] == [-1.5, 2.0, -0.05, -1.5]
