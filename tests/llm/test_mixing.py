@@ -13,6 +13,34 @@ def test_rake_meets_margins(spark):
     assert all(v <= n for (_, _, n), v in zip(rows, (w[a, b] for a, b, _ in rows), strict=True))
 
 
+def test_margins_of_documents(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    cells = M.keyed(docs, list(M.TARGETS), "text", None).groupBy("_k0", "_k1", "_k2").agg(F.sum("_n").alias("_n"))
+    fitted = M.rake(cells, M.TARGETS)
+    rows = M.margins(fitted, list(M.TARGETS)).collect()
+    assert {r["dimension"] for r in rows} == set(M.TARGETS) and max(r["off"] for r in rows) < 0.001
+    total = cells.agg(F.sum("_n")).first()[0]
+    assert fitted.agg(F.sum("w")).first()[0] == pytest.approx(M.BUDGET * total, rel=0.001)
+    assert fitted.where("w > _n + 1e-6").count() == 0
+
+
+def test_a_value_gives_no_more_than_it_has(spark):
+    cells = spark.createDataFrame([("=a", 10), ("=b", 100), ("=c", 890)], "_k0 string, _n long")
+    w = {r["_k0"]: r["w"] for r in M.rake(cells, {"s": 0.0}, budget=0.3).collect()}
+    assert w == pytest.approx({"=a": 10, "=b": 100, "=c": 190})
+    assert sorted(r["w"] for r in M.rake(cells, {"s": 0.0}, budget=2.0).collect()) == pytest.approx([10, 100, 890])
+
+
+def test_clashing_names(spark):
+    rows = [(i, "some words", "s", 9.0, "mine", 1, 2, i) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, probability double, selected string, _n int, _k0 int, `a.b` long")
+    got = M.sampled(docs)
+    assert got.columns == docs.columns and all(tuple(r) in rows for r in got.collect()) and 0 < got.count() < 50
+    assert {r["probability"] for r in M.mix(docs).collect()} == {pytest.approx(0.7)}
+
+
 def test_sampling_is_calibrated_and_repeatable(spark):
     rows = [(i, "w " * 20, "en", "big" if i % 10 else "small", 1) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _x int")
