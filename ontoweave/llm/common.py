@@ -2,43 +2,70 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: Ids that are broadcast at most (some 30 MB).
+#: Ids, or rows of a few numbers, that are broadcast at most (some 30 MB).
 BROADCAST_IDS = 1_000_000
 
+_LOCAL: dict[str, str] = {}
+_SCRATCH: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in its absence (tests) a temporary one that is set here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local master (tests) gets a
+    temporary folder; on a cluster it is an error, as no folder of the driver's could be read by executors."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='ontoweave-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _LOCAL.setdefault(sc.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='ontoweave-')}"
+        _LOCAL[sc.applicationId] = base
     return base.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's folder for intermediate tables in the shared folder; it is deleted when the driver ends. What a
+    driver that was killed leaves is under names that begin with ontoweave- and can be deleted by hand."""
+    path = f"{shared_dir(spark)}/ontoweave-{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        atexit.register(_delete, path)
+    return path
+
+
+def _delete(uri: str) -> None:
+    fs, path = open_fs(uri)
+    try:
+        fs.delete_dir(path)
+    except OSError:  # nothing was written, or the folder is gone
+        pass
+
+
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; keep: it outlives the application."""
+    return f"{shared_dir(spark) if keep else scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: it cuts the lineage and survives lost executors."""
+    """df written as Parquet into the scratch folder and read back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that nothing reads any more."""
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files of tables made by written() that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.split("//", 1)[-1].lstrip("/").startswith(shared_dir(spark).split("//", 1)[-1].lstrip("/")):
+    scratch = scratch_dir(spark).split("//", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
+        if scratch in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
@@ -53,7 +80,12 @@ def open_fs(uri: str):
 def only(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """df joined (left_semi, left_anti) to ids, a written table, which is broadcast if it is small enough; beyond that
     adaptive execution may split the join."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+    return df.join(small(ids), on, how)
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it is BROADCAST_IDS rows at most."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import lean
-from .common import dropped, only, written
+from .common import dropped, fresh_path, only, open_fs, small, written
 from .components import connected_components
 
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Shingles whose bits are counted at once, fingerprints of a tile, and of the blocks in which two tiles meet.
-CHUNK, TILE, BLOCK = 1 << 16, 1 << 14, 256
+#: Shingles whose bits are counted at once, fingerprints of a tile, and of the blocks in which two tiles meet, and tiles that
+#: meet one in a row.
+CHUNK, TILE, BLOCK, RUN = 1 << 16, 1 << 14, 256, 8
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -110,27 +113,54 @@ def compare(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarra
 def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """(a, b) edges between distinct fingerprints (column fp) that span the components of all pairs within radius bits.
 
-    Fingerprints of one population count are dealt into tiles; tiles meet if their counts differ by radius at most. The
-    pairs of tiles are spread over the cluster, each of bounded size."""
+    Fingerprints of one population count are dealt into tiles, each a file in the shared folder; tiles meet if their counts
+    differ by radius at most. What is shuffled is the numbers of tiles that meet: a row is a tile and a run of others, which
+    its task reads one after another, so memory is two tiles. The pairs of a row are reduced to a spanning forest."""
     spark = fps.sparkSession
     one = fps.withColumn("pc", F.bit_count("fp").cast("int"))
-    counts = {r["pc"]: r["n"] for r in one.groupBy("pc").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    parts = F.coalesce(*[F.when(F.col("pc") == k, F.lit(-(-n // tile))) for k, n in sorted(counts.items())], F.lit(1))
-    tiles = written(
-        one.withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int")).groupBy("pc", "part").agg(F.collect_list("fp").alias("fps")),
-        "tiles",
-    )
-    left = tiles.select(F.col("pc").alias("l_pc"), F.col("part").alias("l_part"), F.col("fps").alias("l"), F.explode(F.sequence("pc", F.col("pc") + radius)).alias("pc"))
-    pairs = left.join(tiles, "pc").where("pc > l_pc or part >= l_part")
+    counts = {r["pc"]: -(-r["n"] // tile) for r in one.groupBy("pc").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+    parts = F.coalesce(*[F.when(F.col("pc") == k, F.lit(n)) for k, n in sorted(counts.items())], F.lit(1))
+    dealt = one.withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int")).groupBy("pc", "part").agg(F.collect_list("fp").alias("fps"))
+    path = fresh_path(spark, "tiles")
+    fs, base = open_fs(path)
+    fs.create_dir(base, recursive=True)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_fs(path)
+        for b in batches:
+            for pc, part, x in zip(*b.columns, strict=True):
+                temp = f"{base}/.{pc}-{part}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(temp, compression=None) as f:
+                    f.write(np.sort(x.values.to_numpy()).tobytes())
+                fs.move(temp, f"{base}/{pc}-{part}.i64")
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["pc", "part"])
+
+    written(dealt.mapInArrow(lean(store), "pc int, part int"), "tile-names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_fs(path)
+
+        def load(pc: int, part: int) -> np.ndarray:
+            name = f"{base}/{pc}-{part}.i64"
+            if fs.get_file_info(name).type == FileType.NotFound:  # a part that got no fingerprint
+                return np.zeros(0, np.uint64)
+            with fs.open_input_file(name) as f:
+                return np.frombuffer(f.read(), np.uint64)
+
         for b in batches:
-            for l, r in zip(b.column(0), b.column(1), strict=True):
-                x, y = compare(*(v.values.to_numpy().view(np.uint64) for v in (l, r)), radius)
+            for l_pc, l_part, pc, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                left = load(l_pc, l_part)
+                found = [compare(left, load(pc, part), radius) for part in range(first, last)]
+                x, y = forest(*map(np.concatenate, zip(*found, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (x, y)], names=["a", "b"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = pairs.repartition(4 * n, "l_pc", "l_part", "pc", "part").select("l", "fps")
+    rows = [(k, n, j, counts[j]) for k, n in sorted(counts.items()) for j in range(k, k + radius + 1) if j in counts]
+    # of one population count a tile meets itself and those after it
+    meet = spark.createDataFrame(rows, "l_pc int, l_parts int, pc int, parts int").select("l_pc", F.explode(F.sequence(F.lit(0), F.col("l_parts") - 1)).alias("l_part"), "pc", "parts")
+    first = F.when(F.col("pc") == F.col("l_pc"), F.col("l_part")).otherwise(0)
+    blocks = meet.repartition(n, "l_pc", "l_part").select("l_pc", "l_part", "pc", "parts", F.explode(F.sequence(first, F.col("parts") - 1, F.lit(RUN))).alias("first"))
+    spread = blocks.select("l_pc", "l_part", "pc", "first", F.least(F.col("first") + RUN, "parts").alias("last")).repartition(4 * n, "l_pc", "l_part", "pc", "first")
     return spread.mapInArrow(lean(run), "a long, b long")
 
 
@@ -146,12 +176,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     found = written(links(distinct.select("fp"), radius), "links")
-    label = connected_components(found)
-    labelled = distinct.join(label, distinct.fp == label.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    part_of = written(labelled.join(ids, "label").select("fp", "component_id"), "components")
-    dropped(spark, found)
-    return own.join(part_of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    label = written(connected_components(found), "labels")
+    labelled = written(distinct.join(small(label), distinct.fp == label.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labelled")
+    ids = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "component-ids")
+    part_of = written(labelled.join(small(ids), "label").select("fp", "component_id"), "components")
+    dropped(spark, found, label, labelled, ids, distinct)
+    return own.join(small(part_of), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

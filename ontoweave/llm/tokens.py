@@ -279,6 +279,6 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, path: str | None = None, **options) -> DataFrame:
     """write_tokens, then read_tokens of the same files; path: a new one in the shared folder unless given."""
-    path = path or fresh_path(docs.sparkSession, "tokens")
+    path = path or fresh_path(docs.sparkSession, "tokens", keep=True)
     write_tokens(docs, path, tokenizer_path, end_id, **options)
     return read_tokens(docs.sparkSession, path, options.get("id_col", "doc_id"))

@@ -206,7 +206,7 @@ def read_warc(spark: SparkSession, path: str, id_col: str = "page_id") -> DataFr
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """write_warc, then read_warc of the same archives; path: a new one in the shared folder unless given."""
-    path = path or fresh_path(pages.sparkSession, "warc")
+    path = path or fresh_path(pages.sparkSession, "warc", keep=True)
     write_warc(pages, path, **options)
     return read_warc(pages.sparkSession, path, options.get("id_col", "page_id"))
 

@@ -110,3 +110,30 @@ def test_components_of_paths_and_stars(spark):
     got = {x["node"]: x["label"] for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 1000: 1000, **{2000 + i: 1000 for i in range(50)}, 4000: 4000, 5000: 4000}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_with_hot_nodes_beyond_the_broadcast(spark, monkeypatch):
+    from ontoweave.llm import components
+
+    monkeypatch.setattr(components, "BROADCAST_IDS", 20)
+    monkeypatch.setattr(components, "HOT", 3)
+    edges = [(i, i + 1) for i in range(10)] + [(100, 200 + i) for i in range(60)] + [(230, 300)]
+    got = {x["node"]: x["label"] for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(11)}, 100: 100, 300: 100, **{200 + i: 100 for i in range(60)}}
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    import pytest
+
+    from ontoweave.llm.common import shared_dir
+
+    class Session:
+        conf = {}
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "a"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    assert shared_dir(Session).startswith("file://")
