@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -71,10 +73,13 @@ def markov(words: Iterable[str], smooth: float = 0.5) -> np.ndarray:
 
 @dataclass
 class Model:
-    """The table of log-likelihood ratios of random against ordinary steps, and the least sum that counts."""
+    """The table of log-likelihood ratios of random against ordinary steps, the least sum that counts, and the shares of the
+    random and of the ordinary held-out strings that reach it."""
 
     ratio: np.ndarray
     threshold: float
+    recall: float = float("nan")
+    false_rate: float = float("nan")
 
     def llr(self, word: str) -> float:
         c = codes(word)
@@ -118,11 +123,17 @@ def identifiers(words: list[str], seed: int = 7, n: int = 8000) -> list[str]:
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 5_000, max_words: int = 50_000) -> Model:
+def held_out(word: str) -> bool:
+    """Whether a labelled string is kept from training (a fifth of them), by its hash."""
+    return zlib.crc32(word.encode()) % 5 == 0
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 5_000, max_words: int = 50_000, false_rate: float = 0.001, recall: float = 0.98) -> Model:
     """A Model from labelled samples of max_rows documents at most, those with the smallest hashes of their ids: what the
     patterns find is labelled random, with seeded strings over the alphabets of keys; other words, max_words at most, are
-    labelled ordinary, with names joined from them. The threshold lies above all ordinary strings that the models could
-    judge, with a margin. Ids and words that go through the driver are bounded by these parameters."""
+    labelled ordinary, with names joined from them. The threshold is the largest that recall of the random strings reach,
+    or that which false_rate of the ordinary strings that the models could judge reach, if it is larger. A fifth of all strings is held out from the counts, and tells recall and false_rate. Ids and
+    words that go through the driver are bounded by these parameters."""
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").select("text")
 
@@ -137,17 +148,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_r
                     seen[m[2] if m else text[s:e]] = 1
                 cut = [text[a:b] for a, b in zip([0, *(e for _, _, e in spans)], [*(s for _, s, _ in spans), len(text)], strict=True)]
                 for w in re.findall(r"[A-Za-z0-9_]{4,}", " ".join(cut)):
-                    if not any(c.isdigit() for c in w):
+                    if sum(c.isdigit() for c in w) <= min(2, len(w) // 4):
                         seen.setdefault(w, 0)
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int32())], names=["w", "y"])
 
     found = texts.mapInArrow(lean(run), "w string, y int").groupBy("w").agg(F.max("y").alias("y"))
     rows = found.orderBy(F.desc("y"), F.xxhash64("w"), "w").limit(max_words).collect()
     secret, plain = ([r["w"] for r in rows if r["y"] == y] for y in (1, 0))
-    ordinary = plain + identifiers(plain)
-    model = Model(markov(synthetic() + [w for w in secret if len(w) >= LONG]) - markov(ordinary), 0.0)
-    judged = [model.llr(w) for w in ordinary if len(w) >= LONG and mixed(w)]
-    model.threshold = max([10.0, *(x + 2.0 for x in judged)])
+    random_ones = synthetic() + [w for w in secret if len(w) >= LONG]
+    ordinary = plain + identifiers([w for w in plain if w.isalpha()])
+    model = Model(markov(w for w in random_ones if not held_out(w)) - markov(w for w in ordinary if not held_out(w)), 0.0)
+    judged = lambda ws: np.sort([model.llr(w) for w in ws if len(w) >= LONG and mixed(w) and not held_out(w)])
+    high, low = judged(ordinary), judged(random_ones)
+    model.threshold = max(float(low[int((1 - recall) * len(low))]), float(high[math.ceil((1 - false_rate) * len(high)) - 1]) + 1e-9 if len(high) else 0.0)
+    share = lambda ws: float(np.mean([model.llr(w) >= model.threshold for w in ws])) if ws else float("nan")
+    judge = lambda w: held_out(w) and len(w) >= LONG and mixed(w) and bool(CANDIDATE.fullmatch(w))
+    model.recall, model.false_rate = share([w for w in random_ones if judge(w)]), share([w for w in ordinary if judge(w)])
     return model
 
 

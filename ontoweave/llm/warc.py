@@ -53,15 +53,15 @@ def _safe(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
 
 
-def page_record(page_id: int | None, url: str | None, html: bytes | None, first: int | None, first_url: str | None = None) -> bytes:
+def page_record(page_id: int | None, url: str | None, html: bytes | None, first: int | None, first_url: str | None = None, copy: int = 0) -> bytes:
     """The record of a page, a revisit if first (the id of the response with the same payload) is given; digests and
-    lengths are made anew from the payload."""
+    lengths are made anew from the payload. copy numbers the records of one id and payload, whose record ids differ by it."""
     payload = html or b""
     sha = hashlib.sha256(payload)
     http = HTTP.format(len(payload)).encode()
     block = http + payload if first is None else http
     headers = {
-        "WARC-Record-ID": record_id(page_id, sha.hexdigest(), int(first is not None)),
+        "WARC-Record-ID": record_id(page_id, sha.hexdigest(), copy),
         "WARC-Date": DATE,
         "WARC-Target-URI": _safe(url) or "urn:page:unknown",
         "Content-Type": "application/http; msgtype=response",
@@ -113,7 +113,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     harm, and only files of the manifest count.
 
     A null html is an empty payload, a null URL a placeholder. Rows that repeat the smallest id of a payload are all
-    responses; null ids come first and are responses, or revisits if another id has the payload. An empty table gives an
+    responses, with record ids of their own; null ids come first and are responses, or revisits if another id has the payload. An empty table gives an
     empty manifest; further columns are ignored."""
     spark = pages.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -130,7 +130,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         fs, base = open_fs(path)
-        out = None
+        out, before, copy = None, None, 0
 
         def start() -> dict:
             temp = f"{base}/.{part:06d}-{seq:06d}.{uuid.uuid4().hex}"
@@ -153,7 +153,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         for b in batches:
             for row in zip(*b.columns, strict=True):
                 out = out or start()
-                put(out, member(page_record(*(x.as_py() for x in row)), level))
+                row = [x.as_py() for x in row]
+                copy, before = (copy + 1 if before == (row[0], row[2]) else 0), (row[0], row[2])  # equal ones are neighbours
+                put(out, member(page_record(*row, copy), level))
                 out["records"] += 1
                 if out["bytes"] >= file_bytes:
                     yield close(out)

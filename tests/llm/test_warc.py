@@ -27,6 +27,15 @@ def test_round_trip(spark, tmp_path):
     assert not [p.name for p in (tmp_path / "w").iterdir() if p.name.startswith(".0")], "no temporary names are left"
 
 
+def test_record_ids_are_unique(spark, tmp_path):
+    rows = [(1, f"http://a/{i % 3}", BIG) for i in range(7)] + [(2, "http://b", BIG)] * 3 + [(None, None, None)] * 2
+    path = f"file://{tmp_path}/ids"
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    records = [h for f in sorted((tmp_path / "ids").glob("*.warc.gz")) for h, _, _ in warc.read_records(f.open("rb"))]
+    ids = [h["WARC-Record-ID"] for h in records]
+    assert len(ids) == len(set(ids)) and {h["WARC-Refers-To"] for h in records if "WARC-Refers-To" in h} <= set(ids)
+
+
 def test_records_are_standard():
     data = warc.member(warc.page_record(1, "http://x/", b"<p>" * 50, None)) + warc.member(warc.page_record(2, "http://y/", b"<p>" * 50, 1, "http://x/"))
     text = gzip.decompress(data).decode()
