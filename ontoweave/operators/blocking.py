@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
+from ..scratch import written
+
+#: Target classes of a token beyond which it is common.
+COMMON = 10_000
 
 
 def exact_labels(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -24,18 +28,40 @@ def postings(labels: DataFrame, tokens: Callable[[Column], Column] = text.words,
     return (out.where(F.length("token") > longer_than) if longer_than else out).select("token", "iri")
 
 
-def idf_candidates(source: DataFrame, target: DataFrame, k: int, tokens: Callable[[Column], Column] = text.words) -> DataFrame:
+def idf_candidates(source: DataFrame, target: DataFrame, k: int, tokens: Callable[[Column], Column] = text.words, common: int = COMMON) -> DataFrame:
     """(entity1, entity2, score, rank) of the k best candidates of each source class: the sum, over tokens both have, of
     log10(classes of the target / postings of the token), repeats on either side counted; ties go to the smaller IRI.
 
-    Repeats are counts, so a token is one row a class on either side; tokens in more than half of the target weigh little
-    but count, as the score is defined."""
+    Repeats are counts, so a token is one row a class on either side. Tokens of over common target classes, which would pair
+    all with all, are added last, and to those pairs alone that other tokens make: where the k-th best of these outdoes all
+    that a class could have from common tokens, no other pair can be among the k best. Only the classes for which this
+    doesn't hold, as they have few other tokens, meet all targets of their common ones."""
     index = postings(target, tokens)
     total = target.select("iri").distinct().count()
-    weight = index.groupBy("token").agg(F.log10(F.lit(float(total)) / F.count("*")).alias("idf"))
     a = postings(source, tokens).groupBy("token", F.col("iri").alias("entity1")).agg(F.count("*").alias("n1"))
     b = index.groupBy("token", F.col("iri").alias("entity2")).agg(F.count("*").alias("n2"))
-    scored = a.join(b.join(weight, "token"), "token").groupBy("entity1", "entity2").agg(F.sum(F.col("idf") * F.col("n1") * F.col("n2")).alias("score"))
+    weight = b.groupBy("token").agg(F.log10(F.lit(float(total)) / F.sum("n2")).alias("idf"), F.count("*").alias("df"), F.max("n2").alias("most"))
+    weight = written(weight, "weights")
+    share = F.sum(F.col("idf") * F.col("n1") * F.col("n2")).alias("score")
+    hot = weight.where(F.col("df") > common)
+    if hot.isEmpty():
+        scored = a.join(b.join(weight, "token"), "token").groupBy("entity1", "entity2").agg(share)
+        return top_k(scored, "entity1", k, F.desc(F.round("score", 9)), "entity2")
+    rare = weight.where(F.col("df") <= common)
+    a, b = written(a, "source-tokens"), written(b, "target-tokens")
+    partial = written(a.join(b.join(rare, "token"), "token").groupBy("entity1", "entity2").agg(share), "partial-scores")
+    # what common tokens can add at most, and take off at most (tokens in over all classes' number of postings weigh less than 0)
+    ours = a.join(hot, "token").groupBy("entity1").agg(F.sum(F.greatest(F.lit(0.0), F.col("idf")) * F.col("n1") * F.col("most")).alias("up"), F.sum(F.least(F.lit(0.0), F.col("idf")) * F.col("n1") * F.col("most")).alias("down"))
+    kth = top_k(partial, "entity1", k, F.desc("score"), "entity2").where(F.col("rank") == k).select("entity1", "score")
+    sure = ours.join(kth, "entity1").where(F.col("score") + F.col("down") > F.col("up") + 1e-6).select("entity1")
+    sure = written(sure, "sure-classes")
+    added = partial.join(sure, "entity1", "left_semi").select("entity1", "entity2").join(a.join(hot.select("token", "idf"), "token"), "entity1").join(b, ["token", "entity2"]).groupBy("entity1", "entity2").agg(share)
+    certain = partial.join(sure, "entity1", "left_semi").union(added)
+    none = a.join(hot.select("token"), "token", "left_semi").select("entity1").distinct()
+    apart = partial.join(none, "entity1", "left_anti")  # classes without common tokens
+    open_ = a.join(sure, "entity1", "left_anti").join(none, "entity1", "left_semi")
+    rest = open_.join(b.join(weight, "token"), "token").groupBy("entity1", "entity2").agg(share)
+    scored = certain.union(apart).union(rest).groupBy("entity1", "entity2").agg(F.sum("score").alias("score"))
     return top_k(scored, "entity1", k, F.desc(F.round("score", 9)), "entity2")
 
 
@@ -55,14 +81,24 @@ def near_labels(left: DataFrame, right: DataFrame, least: float, n: int = 2) ->
     more; none is lost.
 
     Each edit changes n grams at most, so labels that are near enough share one of the longer label's grams if it has more
-    of them than the allowed edits touch; those meet over their grams and by length. Labels too short to be sure of that
+    of them than the allowed edits touch; those meet over their rarest grams and by length, so a gram that all labels have pairs
+    none of them unless they have no other. Labels too short to be sure of that
     meet by length alone, of which there are few distinct ones."""
     edits = lambda length: F.floor(length * (1.0 - least) + 1e-9).cast("int")
     own = lambda df, c: df.select(F.lower("label").alias(c)).where(f"{c} is not null").distinct()
     a, b = own(left, "l1"), own(right, "l2")
     sure = lambda c: F.length(c) - (n - 1) > n * edits(F.length(c))
-    # of two labels that near each other the longer is sure, or both are short
-    over = a.select("l1", F.explode(text.grams(F.col("l1"), n)).alias("g")).join(b.select("l2", F.explode(text.grams(F.col("l2"), n)).alias("g")), "g").select("l1", "l2").distinct()
+    # of two labels that near each other the longer is sure, or both are short; they share all grams but n for each edit, so
+    # of each one's grams in order of rarity, n for each edit that a longer partner may take and one more, at least one
+    every = lambda df, c: df.select(c, F.explode(F.array_distinct(text.grams(F.col(c), n))).alias("g"))
+    df = every(a, "l1").select("g").union(every(b, "l2").select("g")).groupBy("g").agg(F.count("*").alias("df"))
+
+    def rarest(labels: DataFrame, c: str) -> DataFrame:
+        most = n * edits(F.floor(F.length(c) / F.lit(max(least, 0.01)) + 1e-9)) + 1
+        grams = every(labels, c).join(df, "g").groupBy(c).agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
+        return grams.select(c, F.explode(F.slice("gs", F.lit(1), most)).alias("x")).select(c, "x.g")
+
+    over = rarest(a, "l1").join(rarest(b, "l2"), "g").select("l1", "l2").distinct()
     longest = F.greatest(F.length("l1"), F.length("l2"))
     short_a, short_b = (df.where(~sure(c)).select(c, F.length(c).alias("n")) for df, c in ((a, "l1"), (b, "l2")))
     spread = short_a.withColumn("m", F.explode(F.sequence(F.floor(F.col("n") * least).cast("int"), F.ceil(F.col("n") / F.lit(max(least, 0.01))).cast("int"))))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ontoweave-"))
-    return df.checkpoint()
+    """df with its lineage cut: a table in the shared folder, which each round computes once and lost executors don't take."""
+    return written(df, "round")
 
 
 def closure(edges: DataFrame, most: int | None = None) -> DataFrame:

@@ -558,7 +558,7 @@ def structural_matcher(spark, d):
 @query()
 def annealed_matcher(spark, d):
     scores = geo_scores(spark, d)
-    return matchers.annealed(scores, 0.5, steps=20, inner=20)
+    return matchers.annealed(scores, 0.5, steps=100, inner=100)
 
 
 @query()
@@ -568,11 +568,11 @@ def evolutionary_matcher(spark, d):
 
 @query()
 def learned_matcher(spark, d):
-    return matchers.learned_matcher(views.brand_ontology(spark, d), views.type_ontology(spark, d), k=5, least=0.5)
+    return matchers.learned_matcher(views.brand_ontology(spark, d), views.type_ontology(spark, d), k=25, least=0.5)
 
 
 @query()
 def path_embeddings(spark, d):
     edges = views.geography(spark, d, customers=False)
     names = table(spark, d, "nation").select(F.concat(F.lit("n:"), "n_nationkey").alias("node"), F.translate("n_name", "_", " ").alias("name")).union(table(spark, d, "region").select(F.concat(F.lit("r:"), "r_regionkey"), "r_name"))
-    return matchers.path_vectors(graph.root_paths(edges), names, 8).select("node", F.size("vec").alias("size"))
+    return matchers.path_vectors(graph.root_paths(edges), names, 8).select("node", *[F.round(F.col("vec")[i], 4).alias(f"v{i}") for i in range(8)])

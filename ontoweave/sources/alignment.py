@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,11 @@ _ENTITY = T.StructType([T.StructField("_rdf:resource", T.StringType())])
 _MEASURE = T.StructType([T.StructField("_VALUE", T.DoubleType()), T.StructField("_rdf:datatype", T.StringType())])
 CELL = T.StructType([T.StructField("entity1", _ENTITY), T.StructField("entity2", _ENTITY), T.StructField("measure", _MEASURE), T.StructField("relation", T.StringType())])
 PAIR = ["entity1", "entity2"]
+# Head and foot of an alignment document.
+CLASSIC = (
+    '<?xml version="1.0" encoding="utf-8"?><rdf:RDF xmlns="http://knowledgeweb.semanticweb.org/heterogeneity/alignment#" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:xsd="http://www.w3.org/2001/XMLSchema#"><Alignment><xml>yes</xml><level>0</level><type>??</type>',
+    "</Alignment></rdf:RDF>",
+)
 
 
 def read_alignment(spark: SparkSession, path: str, excluded: bool = False) -> DataFrame:
@@ -76,3 +82,15 @@ def template_lines(alignment: DataFrame) -> DataFrame:
     """value: a cell an element, for callers that need the classic layout in one text file."""
     cell = '<map><Cell><entity1 rdf:resource="%s"/><entity2 rdf:resource="%s"/><measure rdf:datatype="xsd:float">%s</measure><relation>=</relation></Cell></map>'
     return alignment.select(F.format_string(cell, xml_escape(F.col("entity1")), xml_escape(F.col("entity2")), F.col("measure").cast("string")).alias("value"))
+
+
+def write_classic(alignment: DataFrame, path: str) -> None:
+    """template_lines() between the head and the foot of a document, a document a part file."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda x: pa.RecordBatch.from_arrays([pa.array([x])], names=["value"])
+        yield line(CLASSIC[0])
+        yield from (pa.RecordBatch.from_arrays(b.columns, names=["value"]) for b in batches)
+        yield line(CLASSIC[1])
+
+    write_lines(template_lines(alignment).mapInArrow(framed, "value string"), path)

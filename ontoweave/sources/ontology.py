@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,18 @@ def write_owl(ontology: Ontology, path: str, base: str = "", language: str = "en
     rows.write.format("xml").option("rootTag", root).option("rowTag", "owl:Class").option("validateName", "false").mode("overwrite").save(path)
 
 
+def read_rdf_elements(spark: SparkSession, path: str, row_tags: dict[str, dict[str, str]], base: str = "") -> DataFrame:
+    """read_rdf_xml() of several kinds of elements (a tag and its fields each) of one document."""
+    return reduce(DataFrame.union, [read_rdf_xml(spark, path, tag, fields, base) for tag, fields in row_tags.items()])
+
+
+def bare(literal: Column) -> Column:
+    """The text of a literal of N-Triples without its quotes, language and type, and an IRI without its brackets."""
+    inner = F.regexp_extract(literal, r'^"(.*)"(?:@[A-Za-z0-9-]+|\^\^\S+)?$', 1)
+    plain = F.regexp_replace(F.replace(F.replace(F.replace(inner, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit('\\"'), F.lit('"')), r"\\\\", r"\\")
+    return F.when(literal.rlike(r'^"'), plain).when(literal.rlike("^<.*>$"), F.regexp_extract(literal, "^<(.*)>$", 1)).otherwise(literal)
+
+
 # ---- triples to tables ----------------------------------------------------------------------------------------------
 def without_predicates(triples: DataFrame, predicates: list[str], subject_prefixes: tuple[str, ...] = ()) -> DataFrame:
     """Triples but for some predicates and subjects with some beginnings."""

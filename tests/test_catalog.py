@@ -4,7 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ontoweave.plans.catalog import QUERIES, SQL
+from ontoweave.plans import catalog, roundtrips
+
+QUERIES, SQL = catalog.QUERIES | roundtrips.QUERIES, catalog.SQL | roundtrips.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

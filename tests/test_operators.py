@@ -125,3 +125,41 @@ def test_deep_chains(spark):
 def test_cycles_are_an_error(spark):
     with pytest.raises(ValueError):
         graph.closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "child string, parent string"))
+
+
+def test_near_labels_against_brute_force(spark):
+    import random
+
+    from ontoweave.operators import blocking
+
+    r = random.Random(3)
+    lev = lambda x, y: lev_rows(x, y)
+
+    def lev_rows(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, e in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+            row = new
+        return row[-1]
+
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
+    left = sorted({f"the {word()} {word()}"[r.randint(0, 4) :] for _ in range(60)} | {"a", "ab"})
+    right = sorted({x.replace("a", "b", r.randint(0, 1)) for x in left} | {f"the {word()}" for _ in range(40)})
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "label string")
+    for least in (0.6, 0.7, 0.85):
+        got = {(x["l1"], x["l2"]) for x in blocking.near_labels(frame(left), frame(right), least).collect()}
+        assert got == {(x, y) for x in left for y in right if 1 - lev(x, y) / max(len(x), len(y)) >= least - 1e-12}
+
+
+def test_a_word_of_all_labels_pairs_few(spark):
+    from ontoweave.operators import blocking
+
+    names = [f"{a}{b}{c}" for a in "kmpr" for b in "aeiou" for c in "ltsxz"]
+    source = spark.createDataFrame([(f"s{i}", f"the {x} {x}u") for i, x in enumerate(names)] + [("s", "the")], "iri string, label string")
+    target = spark.createDataFrame([(f"t{i}", f"the {x}") for i, x in enumerate(names)] + [("t", "the the")], "iri string, label string")
+    key = lambda df: sorted((x["entity1"], x["entity2"], round(x["score"], 9), x["rank"]) for x in df.collect())
+    want = key(blocking.idf_candidates(source, target, 1))
+    assert key(blocking.idf_candidates(source, target, 1, common=50)) == want
+    assert key(blocking.idf_candidates(source, target, 3, common=50)) == key(blocking.idf_candidates(source, target, 3))
