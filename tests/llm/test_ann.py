@@ -61,3 +61,21 @@ def test_recall_on_the_table(spark, sf):
     assert hit >= 0.9 * sum(map(len, want.values()))
     for r in got:
         assert r["score"] == pytest.approx(next((s for s, i in want[r["query_id"]] if i == r["vec_id"]), r["score"]), abs=1e-12)
+
+
+def test_ties_and_ids_with_several_vectors(spark):
+    # four vectors at the same distance of the query, and an id with two vectors
+    rows = [(100, [1.0, 1.0])] + [(i, [1.0 + x, 1.0 + y]) for i, (x, y) in zip((7, 3, 9, 5), ((1, 0), (-1, 0), (0, 1), (0, -1)))] + [(4, [8.0, 8.0]), (4, [1.0, 1.5])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(4, 0.5), (3, 1.0), (5, 1.0)]
+    asked = ann.nearest(spark.createDataFrame([(0, [1.0]), (0, [3.0]), (1, [1.2]), (2, [3.5])], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 1).collect()
+    assert sorted((r["rank"], r["vec_id"], round(r["score"], 6)) for r in asked) == [(1, 1, 0.2), (1, 2, 0.5)]
+
+
+def test_tasks_hold_some_shards(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=4).tolist()) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = ann.nearest(frame, F.col("vec_id") % 100 == 0, 10).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(ann, "HELD", 2)
+    assert ann.nearest(frame, F.col("vec_id") % 100 == 0, 10, shard=60).orderBy("query_id", "rank").collect() == one
