@@ -133,6 +133,13 @@ def two_stage(by_id: Column, by_label: Column, least_id: float, least_label: flo
     return F.when(by_id >= least_id, by_id).when(by_label >= least_label, by_label).otherwise(0.0)
 
 
+def two_stage_array(by_id, by_label, least_id, least_label):
+    """two_stage() of numpy arrays; what isn't a number is below every threshold."""
+    import numpy as np
+
+    return np.where(by_id >= least_id, by_id, np.where(by_label >= least_label, by_label, 0.0))
+
+
 def clamp(score: Column, least: float = 0.01, most: float = 1.0) -> Column:
     """Scores of least and less as 0, and none above most."""
     return F.when(score <= least, 0.0).otherwise(F.least(score, F.lit(most)))

@@ -563,7 +563,7 @@ def annealed_matcher(spark, d):
 
 @query()
 def evolutionary_matcher(spark, d):
-    return matchers.evolutionary_matcher(views.brand_ontology(spark, d), views.type_ontology(spark, d), size=8, generations=3, least=0.5)
+    return matchers.evolutionary_matcher(views.brand_ontology(spark, d), views.type_ontology(spark, d), size=100, generations=10, least=0.5)
 
 
 @query()

@@ -115,17 +115,55 @@ def weighted(scores: DataFrame, names: list[str], genes: Column) -> Column:
     return similarity.two_stage(part("id"), part("label"), at(len(names)), at(len(names) + 1))
 
 
+def _scores_of(names: list[str], population: list[list[float]]) -> Callable:
+    """weighted() of a batch of pairs as an array, a row per pair and a column per individual."""
+    genes = np.array(population, dtype=float)
+    weights, t1, t2 = genes[:, : len(names)], genes[:, len(names)], genes[:, len(names) + 1]
+    total = weights.sum(axis=1)
+    shares = np.where(total > 0, 1 / np.where(total > 0, total, 1.0), 0.0)[:, None] * weights
+
+    def score(rows) -> np.ndarray:
+        # sums one by one: a matrix product may round a pair otherwise in another batch, and equal scores must stay equal
+        part = lambda kind: sum(rows[f"{kind}_{n}"].to_numpy(dtype=float)[:, None] * shares[:, i] for i, n in enumerate(names))
+        return similarity.two_stage_array(part("id"), part("label"), t1, t2)
+
+    return score
+
+
 def fitness(scores: DataFrame, names: list[str], population: list[list[float]], size1: int, size2: int) -> list[float]:
-    """The pseudo F1 of each individual: one job scores the whole population."""
-    spark = scores.sparkSession
-    people = F.broadcast(spark.createDataFrame([(i, [float(g) for g in p]) for i, p in enumerate(population)], "who int, genes array<double>"))
-    each = scores.withColumn("who", F.explode(F.array(*[F.lit(i) for i in range(len(population))]))).join(people, "who").withColumn("score", weighted(scores, names, F.col("genes"))).where("score > 0").select("who", *PAIR, "score")
-    row = each.groupBy("who", "entity1").agg(F.max("score").alias("row_max"))
-    col = each.groupBy("who", "entity2").agg(F.max("score").alias("col_max"))
-    best = each.join(row, ["who", "entity1"]).join(col, ["who", "entity2"]).where("score = row_max and score = col_max").groupBy("who", "entity1").agg(F.first("score").alias("score"))
+    """The pseudo F1 of each individual: one job scores the whole population. A pair stays one row: its scores under all
+    individuals are made twice, a batch at a time, first for the batch's greatest of each class, which are what is shuffled,
+    and then to be compared with the greatest of all batches."""
+    score, count = _scores_of(names, population), len(population)
+
+    def maxima(batches):
+        import pandas as pd
+
+        for rows in batches:
+            s = score(rows)
+            for side in ("entity1", "entity2"):
+                keys, at = np.unique(rows[side].to_numpy(dtype=str), return_inverse=True)
+                top = np.full((len(keys), count), -1.0)
+                np.maximum.at(top, at, s)
+                yield pd.DataFrame({"side": side, "entity": keys, "top": list(top)})
+
+    def mutual(batches):
+        import pandas as pd
+
+        for rows in batches:
+            s = score(rows)
+            hit = (s > 0) & (s == np.stack(rows["row"].to_numpy())) & (s == np.stack(rows["col"].to_numpy()))
+            pair, who = np.nonzero(hit)
+            yield pd.DataFrame({"who": who.astype("int32"), "entity1": rows["entity1"].to_numpy()[pair], "score": s[pair, who]}).drop_duplicates(["who", "entity1"])
+
+    tops = scores.mapInPandas(maxima, "side string, entity string, top array<double>").select("side", "entity", F.posexplode("top").alias("who", "score")).groupBy("side", "entity", "who").agg(F.max("score").alias("score"))
+    tops = graph.cut(tops.groupBy("side", "entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("who", "score"))), lambda x: x["score"]).alias("top")))
+    of = lambda side, name: tops.where(F.col("side") == side).select(F.col("entity").alias(side), F.col("top").alias(name))
+    found = scores.join(of("entity1", "row"), "entity1").join(of("entity2", "col"), "entity2").mapInPandas(mutual, "who int, entity1 string, score double")
+    best = found.groupBy("who", "entity1").agg(F.max("score").alias("score"))
     sums = {r["who"]: (r["n"], r["c"]) for r in best.groupBy("who").agg(F.count("*").alias("n"), F.sum("score").alias("c")).collect()}
     out = []
-    for i in range(len(population)):
+    for i in range(count):
         n, c = sums.get(i, (0, 0.0))
         r, p = n / max(min(size1, size2), 1), c / n if n else 0.0
         out.append(2 * r * p / (r + p) if r + p > 0 else 0.0)
@@ -134,10 +172,18 @@ def fitness(scores: DataFrame, names: list[str], population: list[list[float]],
 
 def evolve(score_of: Callable[[list[list[float]]], list[float]], genes: int, size: int = 100, generations: int = 10, cross: float = 0.5, mutate: float = 0.01, spread: float = 10.0, seed: int = 123) -> tuple[list[float], list[float]]:
     """(best individual, best fitness of each generation). Individuals survive by fitness ** exp(-(age of the search) /
-    spread), mate gene by gene in turn, mutate within [0, 1], and the best is always kept."""
+    spread), mate gene by gene in turn, mutate within [0, 1], and the best is always kept. None is scored twice."""
     r = np.random.default_rng(seed)
+    known: dict[tuple[float, ...], float] = {}
+
+    def fitness_of(rows: np.ndarray) -> np.ndarray:
+        new = [list(k) for k in dict.fromkeys(map(tuple, rows.tolist())) if k not in known]
+        if new:
+            known.update(zip(map(tuple, new), score_of(new)))
+        return np.array([known[k] for k in map(tuple, rows.tolist())])
+
     people = r.random((size, genes))
-    fit = np.array(score_of(people.tolist()))
+    fit = fitness_of(people)
     history = [float(fit.max())]
     for g in range(1, generations):
         keep = r.random(size) < np.power(np.maximum(fit, 1e-9), math.exp(-g / max(generations / spread, 1e-9)))
@@ -151,12 +197,12 @@ def evolve(score_of: Callable[[list[list[float]]], list[float]], genes: int, siz
             child[hit] = r.random(int(hit.sum()))
             children.append(child)
         people = np.array([people[fit.argmax()], *children])
-        fit = np.array(score_of(people.tolist()))
+        fit = fitness_of(people)
         history.append(float(fit.max()))
     return people[fit.argmax()].tolist(), history
 
 
-def evolutionary_matcher(source: Ontology, target: Ontology, names: tuple[str, ...] = ("levenshtein", "gram_jaccard"), least: float = 0.9, size: int = 20, generations: int = 5, seed: int = 123) -> DataFrame:
+def evolutionary_matcher(source: Ontology, target: Ontology, names: tuple[str, ...] = ("levenshtein", "gram_jaccard"), least: float = 0.9, size: int = 100, generations: int = 10, seed: int = 123) -> DataFrame:
     """The best target of each class of the smaller ontology under the weights that evolve() finds."""
     names = list(names)
     scores = graph.cut(measures(source, target, names))

@@ -32,7 +32,7 @@ def test_same_as_sql(spark, duck, sf, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"evolutionary_matcher", "learned_matcher"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"learned_matcher"}))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 

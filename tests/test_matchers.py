@@ -43,6 +43,33 @@ def test_evolution_never_loses_its_best():
     assert history == sorted(history) and abs(best[0] - 0.7) < 0.2
 
 
+def test_fitness_against_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    names = ["levenshtein", "gram_jaccard"]
+    kinds = [f"{k}_{n}" for k in ("id", "label") for n in names]
+    rows = [(f"a{i}", f"b{j}", *[r.choice([0.0, 0.25, 0.5, 0.9, 1.0, None]) for _ in kinds]) for i in range(12) for j in range(9) if r.random() < 0.7]
+    people = [[r.choice([0.0, r.random()]) for _ in range(4)] for _ in range(12)] + [[0.0] * 4]
+
+    def f1(g):
+        part = lambda row, at: 0.0 if sum(g[:2]) == 0 else None if None in row[at : at + 2] else (g[0] * row[at] + g[1] * row[at + 1]) / sum(g[:2])
+        score = {}
+        for row in rows:
+            a, b = part(row, 2), part(row, 4)
+            score[row[0], row[1]] = round(a if a is not None and a >= g[2] else b if b is not None and b >= g[3] else 0.0, 12)
+        top = lambda at, key: max(v for k, v in score.items() if k[at] == key)
+        best = {k[0]: v for k, v in score.items() if v > 0 and v == top(0, k[0]) == top(1, k[1])}
+        n, c = len(best), sum(best.values())
+        recall, precision = n / 9, c / n if n else 0.0
+        return 2 * recall * precision / (recall + precision) if recall + precision > 0 else 0.0
+
+    scores = spark.createDataFrame(rows, "entity1 string, entity2 string, " + ", ".join(f"{k} double" for k in kinds)).repartition(3)
+    got = matchers.fitness(scores, names, people, 12, 9)
+    assert got == pytest.approx([f1(g) for g in people])
+    assert len(set(got)) > 5
+
+
 def test_learned(pair):
     s, t = pair
     got = matchers.learned_matcher(s, t, k=5, least=0.3)
