@@ -123,3 +123,27 @@ def centroids(vectors: DataFrame, by: str, vector: str) -> DataFrame:
     """(by, vec): the mean vector of each group, a partial sum per dimension."""
     each = vectors.select(by, F.posexplode(vector).alias("i", "v")).groupBy(by, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
     return each.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vec"))
+
+
+def label_batches(labels: DataFrame, budget: int, buckets: int = 1) -> DataFrame:
+    """(iri, bucket, batch): classes of labels (iri, label) dealt into batches in order of IRI. A batch takes classes while its
+    labels stay below the budget, one class at least. Each of some buckets, by a hash of the IRI, has batches of its own, so
+    they are made side by side; rows stream through, and a batch's running count is all that is kept."""
+    sized = labels.where("iri is not null").groupBy("iri").agg(F.count("label").alias("n")).withColumn("bucket", F.expr(f"int(pmod(xxhash64(iri), {buckets}))"))
+
+    def deal(batches):
+        import pandas as pd
+
+        bucket, batch, held = None, 0, None
+        for rows in batches:
+            at = []
+            for b, n in zip(rows["bucket"], rows["n"]):
+                if b != bucket:
+                    bucket, batch, held = b, 0, None
+                elif held is not None and held + n >= budget:
+                    batch, held = batch + 1, None
+                held = (held or 0) + n
+                at.append(batch)
+            yield pd.DataFrame({"iri": rows["iri"], "bucket": rows["bucket"], "batch": at})
+
+    return sized.repartition(buckets, "bucket").sortWithinPartitions("bucket", "iri").mapInPandas(deal, "iri string, bucket int, batch long")

@@ -117,6 +117,15 @@ def ids_of_labels(wanted: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("iri", F.coalesce("iri", "_i")).withColumn("n", F.coalesce("n", "_n", F.lit(0))).drop("_k", "_i", "_n")
 
 
+def ids_of_suffixes(wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """wanted (symbol) with iri and n: the smallest IRI of classes (iri) that ends in the symbol, and how many do; only 1 is a
+    clear answer. An IRI is cut to the lengths that symbols have, which are few, so symbols meet IRIs by equality."""
+    lengths = [r[0] for r in wanted.select(F.length("symbol").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
+    ends = classes.select("iri").distinct().withColumn("_l", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).where("length(iri) >= _l")
+    ends = ends.join(wanted.select("symbol").distinct(), F.expr("right(iri, _l) = symbol")).groupBy("symbol").agg(F.min("iri").alias("iri"), F.count("*").alias("n"))
+    return wanted.join(ends, "symbol", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def missing(references: DataFrame, known: DataFrame, column: str, key: str) -> DataFrame:
     """Values of references that known doesn't have: a check that passes if it has no rows."""
     return references.select(F.col(column).alias(key)).distinct().join(known.select(key), key, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import blocking, corpus, evaluate, graph, select
+from ..operators import blocking, corpus, evaluate, graph, lexicon, select
 from ..sources import ontology as onto
 from . import matchers, views
 from .views import GEO, GEO_SUPPLIERS, UP, table
@@ -250,6 +250,21 @@ def wu_palmer(spark, d):
     return graph.wu_palmer(edges, pairs).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH RECURSIVE {GEO}, {UP}, nd AS (SELECT child AS node FROM e UNION SELECT parent FROM e), dp AS (SELECT nd.node, 1 + coalesce(max(d), 0) AS depth FROM nd LEFT JOIN up ON up.node = nd.node GROUP BY nd.node),
+su AS (SELECT node, ancestor FROM up UNION SELECT node, node FROM nd),
+se AS (SELECT 's' || s_suppkey % 40 AS word, 's:' || s_suppkey AS node FROM supplier UNION SELECT lower(n_name), 'n:' || n_nationkey FROM nation UNION SELECT c_mktsegment || c_custkey % 60, 'c:' || c_custkey FROM customer),
+ws AS (SELECT word, ancestor, a.depth AS d, c.depth AS l FROM se JOIN su USING (node) JOIN dp a USING (node) JOIN dp c ON c.node = su.ancestor)
+SELECT x.word AS w1, y.word AS w2, round(max(2.0 * x.l / (x.d + y.d)), 6)::DOUBLE AS score FROM ws x JOIN ws y USING (ancestor)
+WHERE x.word LIKE 's%' AND y.word NOT LIKE 's%' GROUP BY x.word, y.word HAVING max(2.0 * x.l / (x.d + y.d)) >= 0.66""")
+def words_alike_by_senses(spark, d):
+    sense = lambda t, word, prefix, key: table(spark, d, t).select(word.alias("word"), F.concat(F.lit(prefix), key).alias("synset"))
+    senses = sense("supplier", F.concat(F.lit("s"), F.col("s_suppkey") % 40), "s:", "s_suppkey")
+    senses = senses.union(sense("nation", F.lower("n_name"), "n:", "n_nationkey"))
+    senses = senses.union(sense("customer", F.concat("c_mktsegment", F.col("c_custkey") % 60), "c:", "c_custkey"))
+    first = F.col("word").startswith("s")
+    return lexicon.like_words(senses.where(first), senses.where(~first), senses, views.geography(spark, d), 0.66).withColumn("score", F.round("score", 6))
+
+
 LEXICAL = f"""l1 AS (SELECT 'n:' || n_nationkey AS n, n_name AS l FROM nation UNION ALL SELECT 'r:' || r_regionkey, r_name FROM region), lx AS (SELECT x.n AS entity1, y.n AS entity2, {LEV.format("x.l", "y.l")} AS score FROM l1 x JOIN l1 y ON x.n[1] = y.n[1])"""
 
 
@@ -397,6 +412,14 @@ def label_to_id_lookup(spark, d):
     return evaluate.ids_of_labels(wanted, s)
 
 
+@query(f"""WITH {LABELS}, w AS (SELECT DISTINCT p_name AS symbol FROM part UNION SELECT '/' || split_part(p_name, ' ', 1) FROM part UNION SELECT 'no such symbol')
+SELECT symbol, min(iri) AS iri, count(iri) AS n FROM w LEFT JOIN (SELECT DISTINCT iri FROM s) c ON ends_with(c.iri, symbol) GROUP BY symbol""")
+def iri_suffix_search(spark, d):
+    name = table(spark, d, "part").select("p_name")
+    wanted = name.union(name.select(F.concat(F.lit("/"), F.substring_index("p_name", " ", 1)))).union(spark.createDataFrame([("no such symbol",)], "p_name string"))
+    return evaluate.ids_of_suffixes(wanted.distinct().toDF("symbol"), views.source_labels(spark, d))
+
+
 @query("""SELECT 'supplier' AS tab, count(*) AS missing FROM (SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)) UNION ALL SELECT 'labels', count(*) FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
 UNION ALL SELECT 'customer', count(*) FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))""")
 def constraint_checks(spark, d):

@@ -30,6 +30,17 @@ def test_matchers(pair):
     assert exact <= found(matchers.evolutionary_matcher(s, t, size=6, generations=2, least=0.7))
 
 
+def test_meta_matcher_over_a_lexicon(spark):
+    from ontoweave.operators import lexicon
+
+    made = lambda p, labels: Ontology(None, spark.createDataFrame([(f"{p}{i}", 0, x) for i, x in enumerate(labels)], "iri string, pos int, label string"), None)
+    senses = spark.createDataFrame([("car", "auto.n"), ("automobile", "auto.n"), ("bike", "bike.n")], "word string, synset string")
+    hypernyms = spark.createDataFrame([("auto.n", "vehicle.n"), ("bike.n", "vehicle.n")], "child string, parent string")
+    got = matchers.meta_matcher(made("s", ["Car", "bike"]), made("t", ["automobile", "unknown"]), semantic=lexicon.semantic_matcher(senses, hypernyms))
+    assert ("s0", "t0") in found(got) and ("s0", "t0") not in found(matchers.meta_matcher(made("s", ["Car"]), made("t", ["automobile"])))
+    assert found(lexicon.semantic_matcher(senses, hypernyms)(made("s", ["Car", "bike"]), made("t", ["automobile", "unknown"]))) == {("s0", "t0")}
+
+
 def test_annealing_keeps_a_matching(spark, pair):
     rows = [(f"a{i}", f"b{j}", 1.0 if i == j else 0.6) for i in range(5) for j in range(5)]
     got = matchers.annealed(spark.createDataFrame(rows, "entity1 string, entity2 string, score double"), 0.5, steps=10, inner=10)

@@ -163,3 +163,55 @@ def test_a_word_of_all_labels_pairs_few(spark):
     want = key(blocking.idf_candidates(source, target, 1))
     assert key(blocking.idf_candidates(source, target, 1, common=50)) == want
     assert key(blocking.idf_candidates(source, target, 3, common=50)) == key(blocking.idf_candidates(source, target, 3))
+
+
+def test_words_by_senses_against_brute_force(spark):
+    import itertools
+    import random
+
+    from ontoweave.operators import lexicon
+
+    r = random.Random(7)
+    parent = {i: r.randrange(i) for i in range(1, 40)}
+
+    def up(i):
+        return [i] + (up(parent[i]) if i in parent else [])
+
+    senses = {f"w{i}": {r.randrange(40) for _ in range(r.choice([1, 1, 3]))} for i in range(30)}
+    score = lambda a, b: 2 * max(len(up(c)) for c in set(up(a)) & set(up(b))) / (len(up(a)) + len(up(b)))
+    best = lambda v, w: max(score(a, b) for a, b in itertools.product(senses[v], senses[w]))
+    table = spark.createDataFrame([(w, f"n{s}") for w, ss in senses.items() for s in ss] + [(None, "n1"), ("lost", None)], "word string, synset string")
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in parent.items()], "child string, parent string")
+    words = spark.createDataFrame([(w,) for w in [*senses, "unknown", None, "w0"]], "word string")
+    for least in (0.3, 0.8, 1.0):
+        got = {(x["w1"], x["w2"]): round(x["score"], 9) for x in lexicon.like_words(words, words, table, edges, least).collect()}
+        assert got == {(v, w): round(best(v, w), 9) for v in senses for w in senses if best(v, w) >= least}
+
+
+def test_single_words(spark):
+    from ontoweave.operators import lexicon
+
+    labels = spark.createDataFrame([("a", " Car "), ("b", "fast car"), ("c", "car"), ("c", "auto"), ("d", ""), ("e", None)], "iri string, label string")
+    assert [tuple(x) for x in lexicon.single_words(labels).collect()] == [("a", "car")]
+
+
+def test_label_batches(spark):
+    from ontoweave.operators import corpus
+
+    sizes = {"a": 2, "b": 1, "c": 9, "d": 1, "e": 1, "f": 1, "g": 0}
+    labels = spark.createDataFrame([(k, f"{k}{i}") for k, n in sizes.items() for i in range(n)] + [("g", None), (None, "x")], "iri string, label string")
+    got = corpus.label_batches(labels, 4).orderBy("iri").collect()
+    assert [(r["iri"], r["batch"]) for r in got] == [("a", 0), ("b", 0), ("c", 1), ("d", 2), ("e", 2), ("f", 2), ("g", 2)]
+    many = corpus.label_batches(labels, 4, buckets=3).groupBy("iri").count().collect()
+    assert {r["iri"]: r["count"] for r in many} == dict.fromkeys(sizes, 1)
+    assert corpus.label_batches(labels.limit(0), 4).count() == 0
+
+
+def test_suffix_search(spark):
+    from ontoweave.operators import evaluate
+
+    classes = spark.createDataFrame([("http://x/A01",), ("http://x/BA01",), ("http://y#C",), ("http://y#C",)], "iri string")
+    wanted = spark.createDataFrame([("/A01",), ("A01",), ("C",), ("none",), ("",), (None,)], "symbol string")
+    got = {r["symbol"]: (r["iri"], r["n"]) for r in evaluate.ids_of_suffixes(wanted, classes).collect()}
+    assert got == {"/A01": ("http://x/A01", 1), "A01": ("http://x/A01", 2), "C": ("http://y#C", 1), "none": (None, 0), "": (None, 0), None: (None, 0)}
+    assert evaluate.ids_of_suffixes(wanted.limit(0), classes).count() == 0
