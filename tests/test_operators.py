@@ -102,6 +102,24 @@ def test_extension_and_conflicts(spark):
     assert {tuple(r)[:2] for r in kept.collect()} == {("c", "q"), ("b", "q"), ("b", "r")}
 
 
+def test_all_pairs_by_kinds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART", 4, raising=False)
+    monkeypatch.setattr(graph, "TASK_PAIRS", 40, raising=False)
+    up = {"b": "a", "c": "ab", "d": "c", "e": "c", "f": "bc", "p": "q", "x": "y", "y": "xz"} | {f"l{i}": "cb"[i % 2] for i in range(30)}
+    e = spark.createDataFrame([(c, p) for c, ps in up.items() for p in ps] + [("n", None), (None, "a")], "child string, parent string")
+    nodes = sorted(set(up) | set("aqzn"))
+    rows = {(r["node"], r["ancestor"]): r["far"] for r in graph.closure(e).collect()}
+    above = {n: {a for m, a in rows if m == n} | {n} for n in nodes}
+    depth = {r["node"]: r["depth"] + 1 for r in graph.depths(e).collect()}
+    want = {(a, b): 2 * max((depth[c] for c in above[a] & above[b]), default=0) / (depth[a] + depth[b]) for a in nodes for b in nodes if a < b}
+    for most in (1_000_000, 0):  # broadcast, and shuffled
+        monkeypatch.setattr(graph, "BROADCAST_MEMBERS", most, raising=False)
+        got = graph.wu_palmer(e)
+        assert got.count() == len(want) and {(r["a"], r["b"]): r["score"] for r in got.collect()} == pytest.approx(want)
+    some = spark.createDataFrame([("l1", "l1"), ("l3", "l1"), ("l1", "a"), ("l1", "a")], "a string, b string")
+    assert sorted(tuple(r) for r in graph.wu_palmer(e, some).collect()) == [("l1", "a", pytest.approx(want["a", "l1"])), ("l1", "a", pytest.approx(want["a", "l1"])), ("l1", "l1", 1.0), ("l3", "l1", pytest.approx(want["l1", "l3"]))]
+
+
 def test_corpus(spark):
     labels = spark.createDataFrame([("a", "One"), ("a", "uno"), ("b", "two"), ("c", "three")], "iri string, label string")
     sib = spark.createDataFrame([("b", "c")], "c1 string, c2 string")
