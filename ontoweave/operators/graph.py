@@ -206,11 +206,29 @@ def structural_scores(scores: DataFrame, edges1: DataFrame, edges2: DataFrame) -
 
 
 def expanded(pairs: DataFrame, edges1: DataFrame, edges2: DataFrame) -> DataFrame:
-    """Distinct (entity1, entity2) of parents by parents and children by children of pairs, without pairs themselves."""
-    e1, e2 = edges1.select(F.col("child").alias("c1"), F.col("parent").alias("p1")), edges2.select(F.col("child").alias("c2"), F.col("parent").alias("p2"))
-    up = pairs.select(F.col("entity1").alias("c1"), F.col("entity2").alias("c2")).join(e1, "c1").join(e2, "c2").select(F.col("p1").alias("entity1"), F.col("p2").alias("entity2"))
-    down = pairs.select(F.col("entity1").alias("p1"), F.col("entity2").alias("p2")).join(e1, "p1").join(e2, "p2").select(F.col("c1").alias("entity1"), F.col("c2").alias("entity2"))
-    return up.union(down).distinct().join(pairs.select("entity1", "entity2"), ["entity1", "entity2"], "left_anti")
+    """Distinct (entity1, entity2) of parents by parents and children by children of pairs, without pairs themselves.
+
+    Children that have the same parents come in the same pairs, so pairs of such kinds are made distinct instead of pairs of
+    children. Children that are in pairs themselves are kinds of their own; only theirs are compared with pairs."""
+    pairs = cut(pairs.select("entity1", "entity2").distinct())
+    e1, e2 = edges1.select(F.col("child").alias("c1"), F.col("parent").alias("p1")).distinct(), edges2.select(F.col("child").alias("c2"), F.col("parent").alias("p2")).distinct()
+    up = pairs.select(F.col("entity1").alias("c1"), F.col("entity2").alias("c2")).join(e1, "c1").join(e2, "c2").select(F.col("p1").alias("entity1"), F.col("p2").alias("entity2")).distinct()
+
+    def kinds(edges: DataFrame, c: str, p: str, own: str) -> DataFrame:
+        sets = edges.join(pairs.select(F.col(own).alias(p)).distinct(), p, "left_semi").groupBy(F.col(c).alias("node")).agg(F.array_sort(F.collect_set(p)).alias("above"))
+        named = sets.join(pairs.select(F.col(own).alias("node"), F.lit(True).alias("own")).distinct(), "node", "left").select("node", F.coalesce("own", F.lit(False)).alias("own"), "above")
+        return cut(named.withColumn("kind", F.md5(F.to_json(F.struct("own", "above")))))
+
+    a, b = kinds(e1, "c1", "p1", "entity1"), kinds(e2, "c2", "p2", "entity2")
+    of = lambda k, i: k.groupBy("kind").agg(F.first("own").alias(f"own{i}"), F.first("above").alias("above")).select(F.col("kind").alias(f"k{i}"), f"own{i}", F.explode("above").alias(f"entity{i}"))
+    met = cut(pairs.join(of(a, 1), "entity1").join(of(b, 2), "entity2").select("k1", "k2", (F.col("own1") & F.col("own2")).alias("own")).distinct())
+    left, right = in_parts(a.select("kind", "node")), in_parts(b.select("kind", "node"))
+    down = lambda own: crossed(met.where(F.col("own") == own).select("k1", "k2"), left, right).toDF("entity1", "entity2")
+    # what is above is in what is below if its kinds meet
+    kind = lambda k, i: k.select(F.col("node").alias(f"n{i}"), F.col("kind").alias(f"k{i}"))
+    above = up.join(kind(a, 1), F.col("entity1").eqNullSafe(F.col("n1")), "left").join(kind(b, 2), F.col("entity2").eqNullSafe(F.col("n2")), "left").join(met, ["k1", "k2"], "left_anti").select("entity1", "entity2")
+    rest = above.union(down(True)).join(pairs, ["entity1", "entity2"], "left_anti")
+    return rest.union(down(False))
 
 
 def extend(mappings: DataFrame, edges1: DataFrame, edges2: DataFrame, scorer, least: float = 0.9, rounds: int = 1) -> DataFrame:

@@ -102,6 +102,11 @@ def test_extension_and_conflicts(spark):
     assert {tuple(r)[:2] for r in kept.collect()} == {("c", "q"), ("b", "q"), ("b", "r")}
 
 
+def most_in_a_task(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
 def test_all_pairs_by_kinds(spark, monkeypatch):
     monkeypatch.setattr(graph, "PART", 4, raising=False)
     monkeypatch.setattr(graph, "TASK_PAIRS", 40, raising=False)
@@ -120,6 +125,21 @@ def test_all_pairs_by_kinds(spark, monkeypatch):
     assert sorted(tuple(r) for r in graph.wu_palmer(e, some).collect()) == [("l1", "a", pytest.approx(want["a", "l1"])), ("l1", "a", pytest.approx(want["a", "l1"])), ("l1", "l1", 1.0), ("l3", "l1", pytest.approx(want["l1", "l3"]))]
 
 
+def test_expansion_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART", 8, raising=False)
+    monkeypatch.setattr(graph, "TASK_PAIRS", 400, raising=False)
+    e1 = [(f"a{i}", "p") for i in range(60)] + [("a1", "q"), ("a2", "q"), ("p", "r"), ("q", "r"), (None, "p"), ("r", None)]
+    e2 = [(f"b{i}", "P") for i in range(60)] + [("b1", "Q"), ("P", "R"), ("Q", "R"), (None, "Q"), ("p", "P")]
+    pairs = [("p", "P"), ("q", "Q"), ("a1", "b1"), ("a1", "b7"), ("r", "R"), ("a1", "b1")]
+    want = {(p, q) for a, b in pairs for c, p in e1 if c == a for d, q in e2 if d == b} | {(c, d) for a, b in pairs for c, p in e1 if p == a for d, q in e2 if q == b}
+    tables = [spark.createDataFrame(r, t) for r, t in ((pairs, "entity1 string, entity2 string"), (e1, "child string, parent string"), (e2, "child string, parent string"))]
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(graph, "BROADCAST_MEMBERS", most, raising=False)
+        got = graph.expanded(*tables)
+        assert got.count() == len(want - set(pairs)) and {tuple(r) for r in got.collect()} == want - set(pairs)
+        assert most_in_a_task(got) < 0.2
+
+
 def test_corpus(spark):
     labels = spark.createDataFrame([("a", "One"), ("a", "uno"), ("b", "two"), ("c", "three")], "iri string, label string")
     sib = spark.createDataFrame([("b", "c")], "c1 string, c2 string")
